@@ -111,12 +111,11 @@ def row_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of its own only where the cluster names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return named or "local"
+    """The folder that the cluster names for checkpoints; one of its own only where it names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -130,10 +129,50 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Plan nodes that give the same rows in the same partitions and order whatever columns are asked of them.
+_STEADY = frozenset({"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "LogicalQueryStage"})
+
+
 def numbered(df: DataFrame, name: str = "__rid") -> DataFrame:
-    """Adds a row identity that a repeated or null key can't disturb; stable for a table read from files."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Adds a row identity that a repeated or null key can't disturb.
+
+    It is stable for a table read from files. Where df is more than a scan (a shuffle below could deal rows out anew when
+    an executor is lost, or when other columns are asked for), df is first materialised in the shared folder."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" :+-|!'").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
+    return (df if nodes <= _STEADY else cut(df)).withColumn(name, F.monotonically_increasing_id())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def only_among(rows: DataFrame, column: str, ids: DataFrame, bits: int = 24, without: bool = False) -> DataFrame:
+    """Drops rows whose `column` (long, not null) can't be among `ids` (one long column), before any shuffle; or, with
+    `without`, exactly the rows that this keeps.
+
+    The ids become a bitmap of 2**bits hashes, broadcast as at most 2**(bits - 6) rows whatever their number. A row
+    that slips through by a shared hash must be dropped by the join that follows."""
+    word = F.expr(f"shiftrightunsigned(xxhash64(`{column}`), {70 - bits})")
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 AS int))")
+    bitmap = ids.toDF(column).groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    joined = rows.join(F.broadcast(bitmap), word == F.col("__word"), "left" if without else "inner")
+    known = F.coalesce(F.col("__bits").bitwiseAND(bit), F.lit(0)) != 0
+    return joined.where(~known if without else known).drop("__word", "__bits")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, label) of every id in links(a, b): label is the least id of its connected component.
+
+    Rounds of least-neighbour labels, each followed by pointer jumping, until nothing changes; every round is cut in
+    the shared folder, and nothing but a count comes to the driver."""
+    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("least"))
+        step = labels.join(near, "id").select("id", "label", F.least("label", "least").alias("new"))
+        jump = step.select(F.col("id").alias("new"), F.col("new").alias("jumped"))
+        step = cut(step.join(jump, "new").select("id", "label", F.least("new", "jumped").alias("new")))
+        labels = step.select("id", F.col("new").alias("label"))
+        if step.where("label <> new").isEmpty():
+            return labels

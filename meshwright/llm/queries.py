@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from meshwright.llm._text import documents
 
-#: Where the public tokenizers' files lie: a function from a file's name to its path.
 SHARDS = 16
 
 
@@ -31,12 +30,24 @@ def op2_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm.pii import find_personal_data
 
     return find_personal_data(documents(spark, sf_dir))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwright.llm.near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).drop("__rid")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwright.llm.packing import pack
 
@@ -71,8 +82,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir), declared=F.col("lang"), host=F.col("source")).drop("__rid")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_perplexity_rules, op4_personal_data, op6_best_fit_packing, op7_byte_shards, op8_byte_bpe, op9_exact_dedup, op10_language_id)}
+    each = (
+        op1_html_extraction, op2_perplexity_rules, op3_suffix_dedup, op4_personal_data, op5_near_dedup, op6_best_fit_packing, op7_byte_shards, op8_byte_bpe,
+        op9_exact_dedup, op10_language_id, pipeline,
+    )
+    return {f.__name__: f for f in each}
 
 
 EXACT_DEDUP_SQL = """
