@@ -8,8 +8,9 @@ what the filter proves to be in one run only, and merges the rest, keeping one i
 Hits: digests that occur more than once. Every row of a hit is compared with the kept row's text byte by byte;
 rows that differ (a digest collision) are grouped again by the text itself.
 
-A hot text costs each task one entry, whatever its copies. Byte verification joins rows with the kept text on the
-digest, an inner join that adaptive execution can split when a digest is hot.
+A hot text costs each task one entry, whatever its copies. A bitmap of fixed size (2**24 bits, broadcast) keeps the text
+of rows that are no hit out of the shuffle; the more of its bits are set, the less it saves. Byte verification is one
+inner join of rows with kept texts on the digest, which adaptive execution can split where a digest is hot.
 
 Defined cases: a null text equals the empty text; a null key counts as the smallest identifier under keep="max" and
 as the largest under keep="min"; rows that repeat with key and text are still rows of their own and one of them stays;
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -118,6 +119,11 @@ def _compact(group: pa.Table) -> pa.Table:
     )
 
 
+def _bit_of_digest() -> tuple[Column, Column]:
+    """A digest's place in a bitmap of 2**24 bits: the word's number and the bit within it."""
+    return F.expr("shiftrightunsigned(xxhash64(digest), 46)"), F.expr("shiftleft(1L, cast(xxhash64(digest) & 63 AS int))")
+
+
 def exact_dedup(
     docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max", capacity: int = 1 << 16, rows_per_bucket: int = 1 << 19, digest_bytes: int = 16
 ) -> DataFrame:
@@ -141,15 +147,21 @@ def exact_dedup(
     hits = cut(runs.groupBy("bucket").applyInArrow(_compact, "digest binary, keep_rid long, group_size long")).withColumn("keep_rid", F.col("keep_rid") * sign)
 
     # Byte verification: the rows of a hit against the text that stays.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.withColumn("digest", digest).repartition(n, "digest").join(hits, "digest")
-    stay = met.where(F.col("__rid") == F.col("keep_rid")).select("digest", F.col("text").alias("keep_text"), F.col("doc_id").alias("keep_id"))
-    checked = met.join(stay, "digest").select("__rid", "doc_id", "keep_id", "keep_rid", "text_sha256", (F.col("text") == F.col("keep_text")).alias("same"))
-    checked = cut(checked.withColumn("stray", F.when(~F.col("same"), F.col("__rid"))))
-
+    some = rows.withColumn("digest", digest)
+    word, bit = _bit_of_digest()
+    bitmap = hits.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    some = some.join(F.broadcast(bitmap), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")  # at most 2**18 rows
+    stay = some.select(F.col("__rid").alias("keep_rid"), F.col("text").alias("keep_text"), F.col("doc_id").alias("keep_id"))
+    stay = hits.join(stay, "keep_rid").select("digest", "keep_rid", "keep_id", "keep_text", "group_size")
+    checked = cut(
+        some.join(stay, "digest").select("__rid", "keep_id", "keep_rid", "group_size", (F.col("text") == F.col("keep_text")).alias("same"))
+    )
+    verified = checked.where("same")
     strays = checked.where("not same").select("__rid")
-    groups = [checked.where("same").groupBy("keep_rid").agg(F.count(F.lit(1)).alias("group_size"))]
-    verified = checked.where("same").join(groups[0], "keep_rid").select("__rid", "keep_id", "group_size", (F.col("__rid") == F.col("keep_rid")).alias("kept"))
+    if not strays.isEmpty():
+        size = verified.groupBy("keep_rid").agg(F.count(F.lit(1)).alias("group_size"))
+        verified = verified.drop("group_size").join(size, "keep_rid")
+    verified = verified.select("__rid", "keep_id", "group_size", (F.col("__rid") == F.col("keep_rid")).alias("kept"))
     if not strays.isEmpty():
         again = rows.join(strays, "__rid").select("__rid", "doc_id", "text", order_key.alias("k"))
         best = Window.partitionBy("text").orderBy(F.col("k").desc() if sign > 0 else F.col("k").asc(), F.col("__rid").desc() if sign > 0 else F.col("__rid").asc())
