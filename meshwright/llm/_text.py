@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -118,10 +119,19 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder and cuts its lineage there."""
+def cut(df: DataFrame, rows: int = 0) -> DataFrame:
+    """Materialises df in the shared checkpoint folder and cuts its lineage there; with `rows`, what follows reads about
+    as many rows a task, so that small tables of an iteration don't leave a shuffle file for every partition."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.coalesce(out.count() // rows + 1) if rows else out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files and checkpoints of finished rounds now: it waits for the driver to
+    collect its garbage, which a driver with little garbage hardly ever does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -166,13 +176,14 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of least-neighbour labels, each followed by pointer jumping, until nothing changes; every round is cut in
     the shared folder, and nothing but a count comes to the driver."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    spark, rows = links.sparkSession, 50_000
+    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), rows)
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), rows)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("least"))
-        step = labels.join(near, "id").select("id", "label", F.least("label", "least").alias("new"))
-        jump = step.select(F.col("id").alias("new"), F.col("new").alias("jumped"))
-        step = cut(step.join(jump, "new").select("id", "label", F.least("new", "jumped").alias("new")))
-        labels = step.select("id", F.col("new").alias("label"))
+        step = cut(labels.join(near, "id").select("id", "label", F.least("label", "least").alias("new")), rows)
         if step.where("label <> new").isEmpty():
             return labels
+        jump = step.select(F.col("id").alias("new"), F.col("new").alias("jumped"))
+        labels = cut(step.join(jump, "new").select("id", F.least("new", "jumped").alias("label")), rows)
+        release(spark)

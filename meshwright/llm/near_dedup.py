@@ -8,9 +8,11 @@ agree in a register with the probability Jaccard similarity of their weights; wi
 128 registers in 32 bands of 4 find a pair of similarity 0.8 with probability 1 - 5e-8.
 
 Only one row a distinct text is banded. In each bucket every text is verified against the bucket's least one (a star, not
-all pairs); links give components, and only pairs of one bucket that are still in different components are verified too,
-less those that the triangle inequality over their distances to the bucket's least text rules out. A link is a
-probability Jaccard or a plain Jaccard of at least the threshold, computed exactly from the whole texts.
+all pairs); links give components. Where a bucket still holds several components, more stars follow, around a text that
+differs from bucket to bucket, and then pairs of different components: a pair is formed once, and only if its registers
+agree as a link's would (4.1 standard deviations below the threshold's mean are let through) and the triangle inequality
+over the distances to the bucket's least text allows a link. A link is a probability Jaccard or a plain Jaccard of at
+least the threshold, computed exactly from the whole texts.
 
 Defined cases: null texts equal the empty text; texts without a word are classes by equality alone; repeated rows and
 null keys are documents of their own (of a class, the row with the least key stays, a null key last, then the first row);
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm._text import U64, components, cut, mix64, numbered, only_among, pieces, prefix_hash, small_batches, span_hash, utf8, words
+from meshwright.llm._text import U64, components, cut, mix64, numbered, only_among, pieces, prefix_hash, release, small_batches, span_hash, utf8, words
 
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -88,20 +90,29 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
+def planes(sig: np.ndarray) -> np.ndarray:
+    """[row, 4 * registers / 64]: the low four bits of every register as bit planes of 64-bit words."""
+    bits = (sig[:, None, :] >> np.arange(4, dtype=U64)[None, :, None]) & U64(1)
+    return np.packbits(bits.astype(np.uint8).reshape(len(sig), -1), axis=1).view(np.int64)
+
+
 def _sign(size: int, registers: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(2))
-            keys, n = [np.zeros((0, bands), U64)], [np.zeros(0, bool)]
+            keys, plane, n = [np.zeros((0, bands), U64)], [np.zeros((0, registers // 16), np.int64)], [np.zeros(0, bool)]
             for i, j in pieces(off):
                 row, h, weight = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
-                keys.append(band_keys(prob_min_hash(row, h, weight, j - i, registers), bands))
+                sig = prob_min_hash(row, h, weight, j - i, registers)
+                keys.append(band_keys(sig, bands))
+                plane.append(planes(sig))
                 n.append(np.bincount(row, minlength=j - i) > 0)
             some = np.concatenate(n)
-            where = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(where), pa.array(np.concatenate(keys)[some].ravel().view(np.int64)))], ["rid", "digest", "keys"]
-            )
+            lists = []
+            for x in (np.concatenate(keys)[some].view(np.int64), np.concatenate(plane)[some]):
+                where = np.concatenate([[0], np.cumsum(some * x.shape[1])]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(where), pa.array(x.ravel())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["rid", "digest", "keys", "planes"])
 
     return run
 
@@ -145,11 +156,18 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     some = only_among(texts, "rid", ids)
     left = pairs.join(some.withColumnRenamed("rid", "a").withColumnRenamed("text", "ta"), "a")
     both = left.join(some.withColumnRenamed("rid", "b").withColumnRenamed("text", "tb"), "b")
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verify(size), "a long, b long, plain double, prob double"))
+    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verify(size), "a long, b long, plain double, prob double"), 50_000)
+
+
+def _still_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (bucket, a, plain, prob) of buckets that hold more than one component, with their component la."""
+    told = members.join(labels.withColumnRenamed("id", "a"), "a", "left").select("bucket", "a", F.coalesce("label", "a").alias("la"), "plain", "prob")
+    mixed = told.groupBy("bucket").agg(F.min("la").alias("lo"), F.max("la").alias("hi")).where("lo <> hi").select("bucket")
+    return cut(told.join(mixed, "bucket"), 50_000)
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 128, bands: int = 32
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 128, bands: int = 32, stars: int = 2
 ) -> DataFrame:
     """One row per document: doc_id, class_id, text_id, class_size, kept, and its row number __rid.
 
@@ -159,31 +177,50 @@ def near_duplicates(
     rows = numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "rid")
     texts = rows.select("rid", "text")
     digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    signed = cut(rows.select("rid", digest.alias("digest"), "text").mapInArrow(_sign(size, registers, bands), "rid long, digest binary, keys array<long>"))
+    signed = cut(rows.select("rid", digest.alias("digest"), "text").mapInArrow(_sign(size, registers, bands), "rid long, digest binary, keys array<long>, planes array<long>"))
     texts_of = cut(signed.select("rid", "digest").groupBy("digest").agg(F.min("rid").alias("cid")))
     banded = only_among(signed.select(F.col("rid").alias("cid"), "keys"), "cid", texts_of.select("cid")).join(texts_of.select("cid"), "cid")
     banded = banded.select("cid", F.explode("keys").alias("bucket"))
     leads = banded.groupBy("bucket").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = cut(banded.join(leads, "bucket").where("cid <> b").select(F.col("cid").alias("a"), "b", "bucket"))
 
+    release(spark)
     star = verified(met.select("a", "b").distinct(), texts, size)
     linked = (F.col("plain") >= threshold) | (F.col("prob") >= threshold)
     labels = components(star.where(linked))
 
-    # Pairs of a bucket whose texts are still apart, unless both distances to the bucket's least text rule a link out.
-    far = 1 - threshold + 1e-9
-    own = lambda c: F.coalesce("label", F.col(c))
-    sided = met.join(star.select("a", "b", "plain", "prob"), ["a", "b"]).join(labels.withColumnRenamed("id", "a"), "a", "left").select("bucket", "a", own("a").alias("la"), "plain", "prob")
-    mixed = sided.groupBy("bucket").agg(F.min("la").alias("lo"), F.max("la").alias("hi")).where("lo <> hi").select("bucket")
-    sided = cut(sided.join(mixed, "bucket"))
-    other = sided.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("a", "la", "plain", "prob")))
-    near = (F.abs(F.col("plain") - F.col("plain2")) <= far) | (F.abs(F.col("prob") - F.col("prob2")) <= far)
-    apart = sided.join(other, "bucket").where((F.col("a") < F.col("a2")) & (F.col("la") != F.col("la2")) & near)
-    apart = cut(apart.select("a", F.col("a2").alias("b")).distinct())
+    # What a bucket still holds apart: first more stars, whose middle differs from bucket to bucket, ...
+    links = star.where(linked).select("a", "b")
+    members = met.join(star.select("a", "b", "plain", "prob"), ["a", "b"]).select("bucket", "a", "plain", "prob")
+    apart = _still_apart(members, labels)
+    for turn in range(stars):
+        if apart.isEmpty():
+            break
+        middle = apart.groupBy("bucket").agg(F.min_by(F.struct("a", "la"), F.xxhash64("bucket", "a", F.lit(turn))).alias("m"))
+        pairs = apart.join(middle, "bucket").where("la <> m.la").select(F.least("a", "m.a").alias("a"), F.greatest("a", "m.a").alias("b")).distinct()
+        links = cut(links.union(verified(cut(pairs, 1000), texts, size).where(linked).select("a", "b")), 50_000)
+        labels = components(links)
+        apart = _still_apart(apart.select("bucket", "a", "plain", "prob"), labels)
+
+    # ... then pairs, each in the least bucket that it shares, unless their registers or their distances to the bucket's
+    # least text rule a link out.
+    release(spark)
     if not apart.isEmpty():
-        more = verified(apart, texts, size).where(linked)
+        far = 1 - threshold + 1e-9
+        expect = threshold + (1 - threshold) / 16
+        differ = int(registers * (1 - expect) + 4.1 * (registers * expect * (1 - expect)) ** 0.5)
+        info = only_among(signed.select(F.col("rid").alias("a"), "keys", "planes"), "a", apart.select("a"))
+        left = cut(apart.join(info, "a"))
+        right = left.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("a", "la", "plain", "prob", "keys", "planes")))
+        words = registers // 64
+        unlike = " + ".join("bit_count(" + " | ".join(f"(planes[{w + k * words}] ^ planes2[{w + k * words}])" for k in range(4)) + ")" for w in range(words))
+        near = (F.abs(F.col("plain") - F.col("plain2")) <= far) | (F.abs(F.col("prob") - F.col("prob2")) <= far)
+        pairs = left.join(right, "bucket").where(
+            (F.col("a") < F.col("a2")) & (F.col("la") != F.col("la2")) & near & F.expr(f"{unlike} <= {differ}") & F.expr("array_min(array_intersect(keys, keys2)) = bucket")
+        )
+        more = verified(cut(pairs.select("a", F.col("a2").alias("b")), 1000), texts, size).where(linked)
         if not more.isEmpty():
-            labels = components(star.where(linked).select("a", "b").union(more.select("a", "b")))
+            labels = components(links.union(more.select("a", "b")))
 
     who = signed.select("rid", "digest").join(texts_of, "digest").select("rid", "cid")
     who = who.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("rid", "cid", F.coalesce("label", "cid").alias("label"))
