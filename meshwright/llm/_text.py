@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwright.functions.iterate import components, cut, release, shared_folder  # noqa: F401 (re-exported)
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -111,29 +110,6 @@ def row_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of its own only where it names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame, rows: int = 0) -> DataFrame:
-    """Materialises df in the shared checkpoint folder and cuts its lineage there; with `rows`, what follows reads about
-    as many rows a task, so that small tables of an iteration don't leave a shuffle file for every partition."""
-    shared_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    return out.coalesce(out.count() // rows + 1) if rows else out
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files and checkpoints of finished rounds now: it waits for the driver to
-    collect its garbage, which a driver with little garbage hardly ever does."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of an Arrow batch, so that a Python worker holds a few MB of text at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -169,21 +145,3 @@ def only_among(rows: DataFrame, column: str, ids: DataFrame, bits: int = 24, wit
     joined = rows.join(F.broadcast(bitmap), word == F.col("__word"), "left" if without else "inner")
     known = F.coalesce(F.col("__bits").bitwiseAND(bit), F.lit(0)) != 0
     return joined.where(~known if without else known).drop("__word", "__bits")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, label) of every id in links(a, b): label is the least id of its connected component.
-
-    Rounds of least-neighbour labels, each followed by pointer jumping, until nothing changes; every round is cut in
-    the shared folder, and nothing but a count comes to the driver."""
-    spark, rows = links.sparkSession, 50_000
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), rows)
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), rows)
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("least"))
-        step = cut(labels.join(near, "id").select("id", "label", F.least("label", "least").alias("new")), rows)
-        if step.where("label <> new").isEmpty():
-            return labels
-        jump = step.select(F.col("id").alias("new"), F.col("new").alias("jumped"))
-        labels = cut(step.join(jump, "new").select("id", F.least("new", "jumped").alias("label")), rows)
-        release(spark)
