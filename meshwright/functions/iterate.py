@@ -27,6 +27,11 @@ def cut(df: DataFrame, rows: int = 0) -> DataFrame:
     return out.coalesce(out.count() // rows + 1) if rows else out
 
 
+def small(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Marks a materialised table for broadcast if it has at most `limit` rows; a larger one stays for a shuffled join."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete shuffle files and checkpoints of finished rounds now: it waits for the driver to
     collect its garbage, which a driver with little garbage hardly ever does."""
