@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.functions.iterate import components, cut, release, shared_folder  # noqa: F401 (re-exported)
+from meshwright.functions.iterate import components, cut, release, shared_folder, small  # noqa: F401 (re-exported)
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshwright.llm._text import U64, cut, mix64, numbered, pieces, prefix_hash, row_sums, small_batches, span_hash, utf8, words
+from meshwright.llm._text import U64, cut, mix64, numbered, pieces, prefix_hash, release, row_sums, small, small_batches, span_hash, utf8, words
 
 ORDER = 5
 SLOT_BITS = 23
@@ -114,7 +114,7 @@ def kneser_ney(top: DataFrame) -> DataFrame:
     orders = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):  # a lower order counts distinct left extensions
         mask = (1 << 8 * k) - 1
-        orders[k] = orders[k + 1].groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        orders[k] = cut(orders[k + 1].groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count(F.lit(1)).alias("c")), 200_000)
     lower = None
     for k in range(1, ORDER + 1):
         grams = orders[k].withColumn("ctx", F.shiftright("gram", 8))
@@ -122,8 +122,8 @@ def kneser_ney(top: DataFrame) -> DataFrame:
         n = grams.groupBy("lang").agg(*(of(i).alias(f"n{i}") for i in (1, 2, 3, 4)))
         y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
         d = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(i - 0.05), F.lit(float(i)) - (i + 1) * F.col("y") * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1))))
-        n = n.withColumn("y", y).select("lang", d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3"))
-        grams = grams.join(n, "lang")
+        n = cut(n.withColumn("y", y).select("lang", d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3")), 200_000)
+        grams = grams.join(small(n), "lang")
         less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         grams = grams.withColumn("less", less).select("lang", "gram", "ctx", "c", "less")
         ctx = grams.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("less").alias("freed"))
@@ -131,11 +131,12 @@ def kneser_ney(top: DataFrame) -> DataFrame:
         own = (F.col("c") - F.col("less")) / F.col("total")
         rest = F.col("freed") / F.col("total")
         if lower is None:
-            lower = grams.select("lang", "gram", "c", (own + rest / 256).alias("p"))
+            lower = cut(grams.select("lang", "gram", "c", (own + rest / 256).alias("p")), 200_000)
         else:
             suffix = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
             grams = grams.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(suffix, ["lang", "suffix"])
-            lower = grams.select("lang", "gram", "c", (own + rest * F.col("q")).alias("p"))
+            lower = cut(grams.select("lang", "gram", "c", (own + rest * F.col("q")).alias("p")), 200_000)
+        release(top.sparkSession)
     return lower
 
 
@@ -246,13 +247,13 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """One row per document: the base counts, base_failed, the cross-entropy and perplexity a byte, the band, and kept."""
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(sorted_arrays(kneser_ney(cut(count_top(docs, lang, text)))))
+    model = spark.sparkContext.broadcast(sorted_arrays(kneser_ney(cut(count_top(docs, lang, text), 200_000))))
     rows = numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))).select("__rid", "doc_id", "lang", "text")
     stats = cut(rows.mapInArrow(_score(model), STATS)).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     edge = cut(bands(stats.where("not base_failed"), width, least, few))
     own = edge.where("lang is not null")
     every = edge.where("lang is null").select(F.col("low").alias("all_low"), F.col("high").alias("all_high"))
-    joined = stats.join(own, "lang", "left").join(F.broadcast(every), F.lit(True), "left")  # one row
+    joined = stats.join(small(own), "lang", "left").join(F.broadcast(every), F.lit(True), "left")  # one row
     low, high = F.coalesce("low", "all_low"), F.coalesce("high", "all_high")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
