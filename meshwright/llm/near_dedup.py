@@ -10,7 +10,7 @@ agree in a register with the probability Jaccard similarity of their weights; wi
 Only one row a distinct text is banded. In each bucket every text is verified against the bucket's least one (a star, not
 all pairs); links give components. Where a bucket still holds several components, more stars follow, around a text that
 differs from bucket to bucket, and then pairs of different components: a pair is formed once, and only if its registers
-agree as a link's would (4.1 standard deviations below the threshold's mean are let through) and the triangle inequality
+in a longer signature agree as a link's would (4.1 standard deviations below the threshold's mean are let through) and the triangle inequality
 over the distances to the bucket's least text allows a link. A link is a probability Jaccard or a plain Jaccard of at
 least the threshold, computed exactly from the whole texts.
 
@@ -90,29 +90,42 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
-def planes(sig: np.ndarray) -> np.ndarray:
-    """[row, 4 * registers / 64]: the low four bits of every register as bit planes of 64-bit words."""
-    bits = (sig[:, None, :] >> np.arange(4, dtype=U64)[None, :, None]) & U64(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(sig), -1), axis=1).view(np.int64)
+def planes(sig: np.ndarray, bits: int = 2) -> np.ndarray:
+    """[row, bits * registers / 64]: the low bits of every register as bit planes of 64-bit words."""
+    part = (sig[:, None, :] >> np.arange(bits, dtype=U64)[None, :, None]) & U64(1)
+    return np.packbits(part.astype(np.uint8).reshape(len(sig), -1), axis=1).view(np.int64)
+
+
+def _fine(size: int, registers: int):
+    """(rid, planes): a longer signature, of two bits a register, for the few texts whose pairs are to be formed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = utf8(b.column(1))
+            got = [np.zeros((0, registers // 32), np.int64)]
+            for i, j in pieces(off, 1 << 17):
+                row, h, weight = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
+                got.append(planes(prob_min_hash(row, h, weight, j - i, registers)))
+            flat = np.concatenate(got)
+            where = pa.array((np.arange(b.num_rows + 1) * flat.shape[1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(where, pa.array(flat.ravel()))], ["rid", "planes"])
+
+    return run
 
 
 def _sign(size: int, registers: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(2))
-            keys, plane, n = [np.zeros((0, bands), U64)], [np.zeros((0, registers // 16), np.int64)], [np.zeros(0, bool)]
+            keys, n = [np.zeros((0, bands), U64)], [np.zeros(0, bool)]
             for i, j in pieces(off):
                 row, h, weight = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
-                sig = prob_min_hash(row, h, weight, j - i, registers)
-                keys.append(band_keys(sig, bands))
-                plane.append(planes(sig))
+                keys.append(band_keys(prob_min_hash(row, h, weight, j - i, registers), bands))
                 n.append(np.bincount(row, minlength=j - i) > 0)
             some = np.concatenate(n)
-            lists = []
-            for x in (np.concatenate(keys)[some].view(np.int64), np.concatenate(plane)[some]):
-                where = np.concatenate([[0], np.cumsum(some * x.shape[1])]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(where), pa.array(x.ravel())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["rid", "digest", "keys", "planes"])
+            where = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(where), pa.array(np.concatenate(keys)[some].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["rid", "digest", "keys"])
 
     return run
 
@@ -167,7 +180,7 @@ def _still_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 128, bands: int = 32, stars: int = 2
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 128, bands: int = 32, stars: int = 1, fine: int = 1024
 ) -> DataFrame:
     """One row per document: doc_id, class_id, text_id, class_size, kept, and its row number __rid.
 
@@ -177,7 +190,7 @@ def near_duplicates(
     rows = numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "rid")
     texts = rows.select("rid", "text")
     digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    signed = cut(rows.select("rid", digest.alias("digest"), "text").mapInArrow(_sign(size, registers, bands), "rid long, digest binary, keys array<long>, planes array<long>"))
+    signed = cut(rows.select("rid", digest.alias("digest"), "text").mapInArrow(_sign(size, registers, bands), "rid long, digest binary, keys array<long>"))
     texts_of = cut(signed.select("rid", "digest").groupBy("digest").agg(F.min("rid").alias("cid")))
     banded = only_among(signed.select(F.col("rid").alias("cid"), "keys"), "cid", texts_of.select("cid")).join(texts_of.select("cid"), "cid")
     banded = banded.select("cid", F.explode("keys").alias("bucket"))
@@ -196,8 +209,9 @@ def near_duplicates(
     for turn in range(stars):
         if apart.isEmpty():
             break
-        middle = apart.groupBy("bucket").agg(F.min_by(F.struct("a", "la"), F.xxhash64("bucket", "a", F.lit(turn))).alias("m"))
-        pairs = apart.join(middle, "bucket").where("la <> m.la").select(F.least("a", "m.a").alias("a"), F.greatest("a", "m.a").alias("b")).distinct()
+        some = apart.where(F.pmod(F.xxhash64("bucket", F.lit(turn)), F.lit(2)) == 0)  # of 32 buckets a text, 16 are enough here
+        middle = some.groupBy("bucket").agg(F.min_by(F.struct("a", "la"), F.xxhash64("bucket", "a", F.lit(turn))).alias("m"))
+        pairs = some.join(middle, "bucket").where("la <> m.la").select(F.least("a", "m.a").alias("a"), F.greatest("a", "m.a").alias("b")).distinct()
         links = cut(links.union(verified(cut(pairs, 1000), texts, size).where(linked).select("a", "b")), 50_000)
         labels = components(links)
         apart = _still_apart(apart.select("bucket", "a", "plain", "prob"), labels)
@@ -207,13 +221,15 @@ def near_duplicates(
     release(spark)
     if not apart.isEmpty():
         far = 1 - threshold + 1e-9
-        expect = threshold + (1 - threshold) / 16
-        differ = int(registers * (1 - expect) + 4.1 * (registers * expect * (1 - expect)) ** 0.5)
-        info = only_among(signed.select(F.col("rid").alias("a"), "keys", "planes"), "a", apart.select("a"))
+        expect = threshold + (1 - threshold) / 4
+        differ = int(fine * (1 - expect) + 4.1 * (fine * expect * (1 - expect)) ** 0.5)
+        ids = apart.select("a").distinct()
+        info = only_among(texts, "rid", ids).join(ids.withColumnRenamed("a", "rid"), "rid").mapInArrow(_fine(size, fine), "rid long, planes array<long>")
+        info = info.join(only_among(signed.select("rid", "keys"), "rid", ids), "rid").withColumnRenamed("rid", "a")
         left = cut(apart.join(info, "a"))
         right = left.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("a", "la", "plain", "prob", "keys", "planes")))
-        words = registers // 64
-        unlike = " + ".join("bit_count(" + " | ".join(f"(planes[{w + k * words}] ^ planes2[{w + k * words}])" for k in range(4)) + ")" for w in range(words))
+        n = fine // 64
+        unlike = " + ".join(f"bit_count((planes[{w}] ^ planes2[{w}]) | (planes[{w + n}] ^ planes2[{w + n}]))" for w in range(n))
         near = (F.abs(F.col("plain") - F.col("plain2")) <= far) | (F.abs(F.col("prob") - F.col("prob2")) <= far)
         pairs = left.join(right, "bucket").where(
             (F.col("a") < F.col("a2")) & (F.col("la") != F.col("la2")) & near & F.expr(f"{unlike} <= {differ}") & F.expr("array_min(array_intersect(keys, keys2)) = bucket")
