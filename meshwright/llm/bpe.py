@@ -18,6 +18,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from meshwright.llm._text import U64, gather, mix64, small_batches, utf8
 
 LONG = 256
-CACHE = 1 << 18
+CACHE = 1 << 19
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -185,14 +186,14 @@ class Encoder:
             self.known, self.flat, self.table = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
         known = self.known
         parts = [self.split(t) for t in texts]
-        fresh = [t for t in dict.fromkeys(t for p in parts for t in p) if t not in known]
+        fresh = list(set(chain.from_iterable(parts)).difference(known))
         if fresh:
             ids = encode_tokens(self.ranks, [t.encode() for t in fresh])
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             self.flat = np.concatenate([self.flat, *ids])
             self.table = np.concatenate([self.table, self.table[-1] + np.cumsum([len(x) for x in ids])])
         n = np.fromiter(map(len, parts), np.int64, len(parts))
-        picks = np.fromiter((known[t] for p in parts for t in p), np.int64, int(n.sum()))
+        picks = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
         ids, off = gather(self.flat, self.table, picks)
         return ids, off[np.concatenate([[0], np.cumsum(n)])]
 

@@ -14,8 +14,10 @@ repeated or null keys are documents of their own; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from meshwright.llm._text import cut, gather, small_batches
 
-CACHE = 1 << 18
+CACHE = 1 << 20
 GROUP = 1 << 15
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, final boolean"
 _TYPES = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
@@ -37,6 +39,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, int] = {}
@@ -47,15 +50,15 @@ class WordEncoder:
             self.known, self.flat, self.table = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
         known = self.known
         parts = [t.encode().split() for t in texts]
-        fresh = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in known]
+        fresh = list(set(chain.from_iterable(parts)).difference(known))
         if fresh:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
             self.table = np.concatenate([self.table, self.table[-1] + np.cumsum(size)])
         n = np.fromiter(map(len, parts), np.int64, len(parts))
-        picks = np.fromiter((known[w] for p in parts for w in p), np.int64, int(n.sum()))
+        picks = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
         ids, off = gather(self.flat, self.table, picks)
         return ids, off[np.concatenate([[0], np.cumsum(n)])]
 
