@@ -32,9 +32,19 @@ SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin l
 _TYPES = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
 
 
+_ENDS = (b".", b",")
+
+
+def folded(raw: bytes) -> bytes:
+    """ASCII letters in lower case, as the tokenizer's own normaliser will make them; not where combining marks (U+0300 to
+    U+036F) follow letters, because composition comes before lower case there."""
+    return raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()
+
+
 class WordEncoder:
     """Ids by the tokenizers library. Words between ASCII white space never share a token in a tokenizer whose
-    pre-tokenizer drops white space, so the ids of a word are kept and the library sees each new word once."""
+    pre-tokenizer drops white space and whose normaliser lowers case, so the ids of a word are kept and the library sees
+    each new word once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,20 +59,29 @@ class WordEncoder:
         if len(self.known) > CACHE:
             self.known, self.flat, self.table = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
         known = self.known
-        parts = [t.encode().split() for t in texts]
-        fresh = list(set(chain.from_iterable(parts)).difference(known))
+        parts = [folded(t.encode()).split() for t in texts]
+        fresh = set(chain.from_iterable(parts)).difference(known)
         if fresh:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-            self.table = np.concatenate([self.table, self.table[-1] + np.cumsum(size)])
+            # A stop or comma behind a letter is a token of its own, so the word before it needn't be met twice.
+            ended = [w for w in fresh if w[-1:] in _ENDS and w[-2:-1].isalpha()]
+            whole = list((fresh.difference(ended) | {w[:-1] for w in ended} | ({b".", b","} if ended else set())).difference(known))
+            self._add(whole, [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)])
+            flat, at = self.flat, self.table
+            parts_of = ((known[w[:-1]], known[w[-1:]]) for w in ended)
+            self._add(ended, [flat[at[i] : at[i + 1]].tolist() + flat[at[j] : at[j + 1]].tolist() for i, j in parts_of])
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         picks = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
         ids, off = gather(self.flat, self.table, picks)
         return ids, off[np.concatenate([[0], np.cumsum(n)])]
 
 
+    def _add(self, words: list[bytes], ids: list[list[int]]) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        self.table = np.concatenate([self.table, self.table[-1] + np.cumsum(size)])
+
+
 _loaded: dict[str, WordEncoder] = {}
 
 
