@@ -180,7 +180,7 @@ def _still_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 128, bands: int = 32, stars: int = 1, fine: int = 1024
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 128, bands: int = 32, stars: int = 1, fine: int = 2048
 ) -> DataFrame:
     """One row per document: doc_id, class_id, text_id, class_size, kept, and its row number __rid.
 
@@ -209,7 +209,7 @@ def near_duplicates(
     for turn in range(stars):
         if apart.isEmpty():
             break
-        some = apart.where(F.pmod(F.xxhash64("bucket", F.lit(turn)), F.lit(2)) == 0)  # of 32 buckets a text, 16 are enough here
+        some = apart.where(F.pmod(F.xxhash64("bucket", F.lit(turn)), F.lit(4)) == 0)  # of 32 buckets a text, 8 are enough here
         middle = some.groupBy("bucket").agg(F.min_by(F.struct("a", "la"), F.xxhash64("bucket", "a", F.lit(turn))).alias("m"))
         pairs = some.join(middle, "bucket").where("la <> m.la").select(F.least("a", "m.a").alias("a"), F.greatest("a", "m.a").alias("b")).distinct()
         links = cut(links.union(verified(cut(pairs, 1000), texts, size).where(linked).select("a", "b")), 50_000)
