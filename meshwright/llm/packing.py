@@ -15,9 +15,11 @@ repeated or null keys are documents of their own; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,9 @@ _TYPES = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bo
 
 
 _ENDS = (b".", b",")
+#: The lower-case letters of the Latin blocks up to U+024F.
+_LETTERS = "".join(c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c.lower() == c)
+_PLAIN = re.compile(f"[{_LETTERS}]+")
 
 
 def folded(raw: bytes) -> bytes:
@@ -44,39 +49,63 @@ def folded(raw: bytes) -> bytes:
 class WordEncoder:
     """Ids by the tokenizers library. Words between ASCII white space never share a token in a tokenizer whose
     pre-tokenizer drops white space and whose normaliser lowers case, so the ids of a word are kept and the library sees
-    each new word once."""
+    each new word once. A word of lower-case Latin letters alone, which the normaliser and the pre-tokenizer's pattern
+    leave as it is, skips both (the constructor asks the tokenizer whether that holds)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, int] = {}
+        self.bare = None
+        t = self.tokenizer
+        if t.normalizer and t.pre_tokenizer and t.normalizer.normalize_str(_LETTERS) == _LETTERS and len(t.pre_tokenizer.pre_tokenize_str(_LETTERS)) == 1:
+            self.bare = Tokenizer(t.model)
+            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.bare.encode_special_tokens = True
+            if self._ids(self.bare, [_LETTERS]) != self._ids(t, [_LETTERS]):
+                self.bare = None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: defaultdict[bytes, int] = defaultdict(count().__next__)  # a new word takes the next number
         self.flat, self.table = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > CACHE:
-            self.known, self.flat, self.table = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        known = self.known
+            self._forget()
+        known, base = self.known, len(self.known)
         parts = [folded(t.encode()).split() for t in texts]
-        fresh = set(chain.from_iterable(parts)).difference(known)
-        if fresh:
-            # A stop or comma behind a letter is a token of its own, so the word before it needn't be met twice.
-            ended = [w for w in fresh if w[-1:] in _ENDS and w[-2:-1].isalpha()]
-            whole = list((fresh.difference(ended) | {w[:-1] for w in ended} | ({b".", b","} if ended else set())).difference(known))
-            self._add(whole, [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)])
-            flat, at = self.flat, self.table
-            parts_of = ((known[w[:-1]], known[w[-1:]]) for w in ended)
-            self._add(ended, [flat[at[i] : at[i + 1]].tolist() + flat[at[j] : at[j + 1]].tolist() for i, j in parts_of])
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         picks = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
+        self._learn(base)
         ids, off = gather(self.flat, self.table, picks)
         return ids, off[np.concatenate([[0], np.cumsum(n)])]
 
+    @staticmethod
+    def _ids(tokenizer, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _add(self, words: list[bytes], ids: list[list[int]]) -> None:
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+    def _learn(self, base: int) -> None:
+        """The ids of the words that have been numbered from `base` on."""
+        known = self.known
+        # A stop or comma behind a letter is a token of its own, so the word before it needn't be met twice.
+        ended = [w for w in islice(reversed(known), len(known) - base) if w[-1:] in _ENDS and w[-2:-1].isalpha()]
+        halves = {w: (known[w[:-1]], known[w[-1:]]) for w in ended}
+        new = list(islice(reversed(known), len(known) - base))[::-1]
+        names = [w.decode() for w in new]
+        ids: list[list[int]] = [[]] * len(new)
+        plain, other = [], []
+        for i, (w, name) in enumerate(zip(new, names, strict=True)):
+            if w not in halves:
+                (plain if self.bare and _PLAIN.fullmatch(name) else other).append(i)
+        for tokenizer, at in ((self.bare, plain), (self.tokenizer, other)):
+            for i, got in zip(at, self._ids(tokenizer, [names[i] for i in at]) if at else (), strict=True):
+                ids[i] = got
+        part = lambda k: ids[k - base] if k >= base else self.flat[self.table[k] : self.table[k + 1]].tolist()
+        for w, (stem, mark) in halves.items():
+            ids[known[w] - base] = part(stem) + part(mark)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
         self.table = np.concatenate([self.table, self.table[-1] + np.cumsum(size)])
