@@ -196,6 +196,22 @@ def test_packing(awkward):
         assert w([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_word_encoder_with_many_texts_and_a_full_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    w = packing.WordEncoder(P.path("word_bpe_49k.json"))
+    assert w.bare is not None
+    monkeypatch.setattr(packing, "CACHE", 300)  # forgets between the calls
+    rng = random.Random(1)
+    letters = packing._LETTERS + "abcdefghijklmnopqrstuvwxyz" * 8
+    for _ in range(40):
+        texts = ["".join(rng.choice(letters if rng.random() < 0.8 else " .,'ÀŒ1\u0301\n|ª") for _ in range(rng.randint(0, 60))) for _ in range(50)]
+        ids, off = w(texts)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_personal_data(awkward):
     def brute(t):
         out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
