@@ -2,15 +2,17 @@
 
 Model: byte n-grams of order 5 with interpolated modified Kneser-Ney smoothing, one model a language, counted by Spark
 over every whole text. A task counts the distinct 5-grams of its texts (exactly, packed in 40 bits) before anything is
-shuffled; lower orders count distinct left extensions; discounts come from counts of counts. The probabilities end in
-sorted arrays of hashes of 23 bits, so the model has at most 2**23 entries an order whatever the corpus and the number
-of languages; that is the proven bound of what is broadcast (64 MB for the top order). Of n-grams whose hashes meet, the
-most frequent one keeps the slot. Since the whole corpus is counted, every 5-gram that is scored has been seen.
+shuffled; lower orders count distinct left extensions; discounts come from counts of counts. What a probability is made
+of ends in sorted arrays of exact keys (language and 5-gram), so no two n-grams share an entry.
+
+A document is scored without itself: its own 5-grams are taken out of the counts, the totals and the freed mass of their
+contexts. A 5-gram that no other document holds is backed off to a lower order that has lost this one extension, and so
+on down; that several such 5-grams of one document meet in one lower context is not taken out.
 
 Bands: the base-2 cross-entropy of every document that passes the base rules goes into an exact histogram of its
-language; the band is the quartiles widened by `width` interquartile ranges on either side, at least `least` bits. A
-language with fewer than `few` such documents takes the band of all languages together. Below or above it, a document
-is rejected.
+language, once a distinct text; the band is the quartiles widened by `width` interquartile ranges on either side, at
+least `least` bits. A language with fewer than `few` such texts takes the band of all languages together. Below or above
+it, a document is rejected.
 
 Defined cases: a null text has no words; texts below 20 words fail the base; a null language is the language "";
 an empty table gives no rows; repeated rows and null keys are documents of their own; other columns are ignored.
@@ -29,11 +31,10 @@ from pyspark.sql.window import Window
 from meshwright.llm._text import U64, cut, mix64, numbered, pieces, prefix_hash, release, row_sums, small, small_batches, span_hash, utf8, words
 
 ORDER = 5
-SLOT_BITS = 23
 BIN = 1024  # bins a bit of cross-entropy
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-STATS = "__rid long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, entropy double"
+STATS = "__rid long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, entropy double"
 
 
 def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,17 +54,6 @@ def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[np.cumsum(whole[: n - 4]) > 0], at
 
 
-def slots(gram: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
-    """The hash of a packed n-gram of a language (given as a 64-bit number), in SLOT_BITS bits."""
-    return (mix64(gram.astype(U64) ^ lang) >> U64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def lang_number(name: str) -> np.uint64:
-    """A 64-bit number of a language's name, the same in every process."""
-    raw = np.frombuffer(name.encode() + b"\x00", np.uint8)
-    return span_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0]
-
-
 def _merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     gram, count = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(gram, kind="stable")
@@ -110,7 +100,8 @@ def count_top(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 
 def kneser_ney(top: DataFrame) -> DataFrame:
-    """(lang, gram, c, p) of the top order: interpolated modified Kneser-Ney probabilities."""
+    """(lang, gram, c, d1, d2, d3, total, freed, q, q_less, p, p_less) of the top order: interpolated modified Kneser-Ney
+    probabilities p, what they are made of (q: the lower order's p), and what p and q are without one of the counts."""
     orders = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):  # a lower order counts distinct left extensions
         mask = (1 << 8 * k) - 1
@@ -123,54 +114,75 @@ def kneser_ney(top: DataFrame) -> DataFrame:
         y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
         d = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(i - 0.05), F.lit(float(i)) - (i + 1) * F.col("y") * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1))))
         n = cut(n.withColumn("y", y).select("lang", d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3")), 200_000)
-        grams = grams.join(small(n), "lang")
-        less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        grams = grams.withColumn("less", less).select("lang", "gram", "ctx", "c", "less")
+        less = lambda c: F.when(c <= 0, F.lit(0.0)).when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+        grams = grams.join(small(n), "lang").withColumn("less", less(F.col("c")))
         ctx = grams.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("less").alias("freed"))
         grams = grams.join(ctx, ["lang", "ctx"])
-        own = (F.col("c") - F.col("less")) / F.col("total")
-        rest = F.col("freed") / F.col("total")
         if lower is None:
-            lower = cut(grams.select("lang", "gram", "c", (own + rest / 256).alias("p")), 200_000)
+            grams = grams.withColumns({"q": F.lit(1 / 256), "q_less": F.lit(1 / 256)})
         else:
-            suffix = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+            suffix = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"), F.col("p_less").alias("q_less"))
             grams = grams.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(suffix, ["lang", "suffix"])
-            lower = cut(grams.select("lang", "gram", "c", (own + rest * F.col("q")).alias("p")), 200_000)
+        p = (F.col("c") - F.col("less") + F.col("freed") * F.col("q")) / F.col("total")
+        one = less(F.col("c") - 1)
+        down = F.when(F.col("c") == 1, F.col("q_less")).otherwise(F.col("q"))
+        kept = F.greatest(F.col("freed") - F.col("less") + one, F.lit(0.0))
+        p_less = F.when(F.col("total") == 1, down).otherwise((F.col("c") - 1 - one + kept * down) / F.greatest(F.col("total") - 1, F.lit(1)))
+        lower = cut(grams.select("lang", "gram", "c", "d1", "d2", "d3", "total", "freed", "q", "q_less", p.alias("p"), p_less.alias("p_less")), 200_000)
         release(top.sparkSession)
     return lower
 
 
-def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        names = np.array(b.column(0).to_pylist(), object)
-        gram = b.column(1).to_numpy()
-        number = {x: lang_number(x) for x in set(names)}
-        slot = slots(gram, np.array([number[x] for x in names], U64))
-        yield pa.RecordBatch.from_arrays([pa.array(slot), b.column(2), pa.array(-np.log2(b.column(3).to_numpy()))], ["slot", "c", "bits"])
-
-
-def sorted_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model as ascending hashes and the bits of each: at most 2**SLOT_BITS of them."""
-    by_slot = model.select("lang", "gram", "c", "p").mapInArrow(_to_slots, "slot long, c long, bits double")
-    best = by_slot.groupBy("slot").agg(F.max_by("bits", F.struct("c", "bits")).alias("bits"))
-    table = best.select(F.col("slot").cast("int").alias("slot"), F.col("bits").cast("float").alias("bits")).toArrow()
-    hashes, bits = table.column(0).to_numpy(), table.column(1).to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order].astype(np.int32), bits[order].astype(np.float32)
-
-
-_dense: dict[int, np.ndarray] = {}
-
-
-def _direct(model) -> np.ndarray:
-    """The sorted arrays spread out by hash, one for each worker: a slot that is missing costs 30 bits."""
-    if model.id not in _dense if hasattr(model, "id") else True:
-        hashes, bits = model.value
-        table = np.full(1 << SLOT_BITS, 30.0, np.float32)
-        table[hashes] = bits
-        _dense.clear()
-        _dense[getattr(model, "id", 0)] = table
-    return _dense[getattr(model, "id", 0)]
+class Model:
+    """Sorted arrays of one row a (language, 5-gram); key: the language's number before the packed 5-gram."""
+
+    def __init__(self, names: list[str], discounts: np.ndarray, key: np.ndarray, c: np.ndarray, total: np.ndarray, freed: np.ndarray, q: np.ndarray, q_less: np.ndarray):
+        self.names = {x: k for k, x in enumerate(names)}
+        self.discounts, self.key = discounts, key
+        self.c, self.total, self.freed, self.q, self.q_less = c, total, freed, q, q_less
+
+    def bits(self, g: np.ndarray, at: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """For each row, the bits of its 5-grams g[at[i]:at[i + 1]] in a model without the row's own counts."""
+        if not len(g) or not len(self.key):
+            return np.zeros(len(at) - 1)
+        row = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at))
+        mine = np.sort(row << 40 | g)
+        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        own = np.diff(np.append(first, len(mine)))
+        mine = mine[first]
+        row, gram = mine >> 40, mine & ((1 << 40) - 1)
+        key = lang[row] << 40 | gram
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        here = self.key[i] == key
+        c = np.where(here, self.c[i], own).astype(np.int64)
+        d = self.discounts[lang[row]]
+        each = np.arange(len(c))
+        left = np.maximum(c - own, 0)
+        less = d[each, np.minimum(left, 3)]
+        ctx = np.flatnonzero(np.concatenate([[True], mine[1:] >> 8 != mine[:-1] >> 8]))
+        size = np.diff(np.append(ctx, len(mine)))
+        out = np.repeat(np.add.reduceat(own, ctx), size)
+        gone = np.repeat(np.add.reduceat(d[each, np.minimum(c, 3)] - less, ctx), size)
+        total = self.total[i] - out
+        freed = np.maximum(self.freed[i] - gone, 0.0)
+        down = np.where(left == 0, self.q_less[i], self.q[i])
+        p = np.where(total > 0, (left - less + freed * down) / np.maximum(total, 1), down)
+        cost = np.where(here, -own * np.log2(np.clip(p, 2.0**-30, 1.0)), 0.0)
+        return np.bincount(row, cost, len(at) - 1)
+
+
+def sorted_arrays(model: DataFrame) -> Model:
+    """The model of kneser_ney with exact keys."""
+    told = model.groupBy("lang").agg(*(F.first(x).alias(x) for x in ("d1", "d2", "d3"))).orderBy("lang").collect()
+    names = [r.lang for r in told]
+    number = model.sparkSession.createDataFrame([(x, k) for k, x in enumerate(names)], "lang string, number long")
+    key = F.shiftleft("number", 40).bitwiseOR(F.col("gram")).alias("key")
+    f = lambda x: F.col(x).cast("float").alias(x)
+    table = model.join(F.broadcast(number), "lang").select(key, "c", "total", f("freed"), f("q"), f("q_less")).toArrow()
+    cols = [table.column(k).to_numpy() for k in range(6)]
+    order = np.argsort(cols[0])
+    discounts = np.array([[0.0, r.d1, r.d2, r.d3] for r in told]).reshape(-1, 4)
+    return Model(names, discounts, *(x[order] for x in cols))
 
 
 def repeated_words(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, size: int = 8) -> np.ndarray:
@@ -201,12 +213,10 @@ def repeated_lines(text: bytes) -> int:
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _direct(model)
+        m = model.value
         for b in batches:
             langs = b.column(2).fill_null("")
-            names = langs.to_pylist()
-            number = {x: lang_number(x) for x in set(names)}
-            by_row = np.array([number[x] for x in names], U64)
+            by_row = np.array([m.names.get(x, 0) for x in langs.to_pylist()], np.int64)  # a language without a 5-gram has nothing to score
             data, off = utf8(b.column(3))
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, j in pieces(off):
@@ -217,7 +227,7 @@ def _score(model):
                 np.add.at(inside, end, -1)
                 begins = (d & 0xC0) != 0x80
                 g, w = windows(d, o)
-                bits = row_sums(table[slots(g, np.repeat(by_row[i:j], np.diff(w)))].astype(np.float64), w)
+                bits = m.bits(g, w, by_row[i:j])
                 raw = d.tobytes()
                 for k, v in enumerate((
                     np.diff(at), row_sums((np.cumsum(inside[:-1]) > 0) & begins, o), row_sums(SYMBOLS[d], o),
@@ -226,29 +236,30 @@ def _score(model):
                 )):
                     out[k].append(v)
             cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), langs, *(pa.array(c.astype(np.int64)) for c in cols[:5]), pa.array(cols[5].astype(np.float64), from_pandas=True)], [x.split()[0] for x in STATS.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), langs, *(pa.array(c.astype(np.int64)) for c in cols[:5]), b.column(4), pa.array(cols[5].astype(np.float64), from_pandas=True)], [x.split()[0] for x in STATS.split(", ")])
 
     return run
 
 
 def bands(passed: DataFrame, width: float, least: float, few: int) -> DataFrame:
     """(lang, low, high) in bits, from exact histograms; the row of a null language is that of all together."""
-    hist = passed.where("entropy is not null").groupBy("lang", F.floor(F.col("entropy") * BIN).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    texts = passed.where("entropy is not null").groupBy("lang", "text_hash").agg(F.min("entropy").alias("entropy"))
+    hist = texts.groupBy("lang", F.floor(F.col("entropy") * BIN).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     hist = hist.unionByName(hist.groupBy("bin").agg(F.sum("c").alias("c")).withColumn("lang", F.lit(None).cast("string")))
     upto = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy("lang")))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("bin"))) / BIN
-    q = hist.groupBy("lang").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("n").alias("n"))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("bin")))
+    q = hist.groupBy("lang").agg((at(0.25) / BIN).alias("q1"), ((at(0.75) + 1) / BIN).alias("q3"), F.max("n").alias("n"))
     room = F.greatest(F.lit(least), width * (F.col("q3") - F.col("q1")))
     return q.where((F.col("n") >= few) | F.col("lang").isNull()).select("lang", (F.col("q1") - room).alias("low"), (F.col("q3") + room).alias("high"))
 
 
-def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 6.0, least: float = 0.5, few: int = 50) -> DataFrame:
+def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 3.0, least: float = 0.0, few: int = 50) -> DataFrame:
     """One row per document: the base counts, base_failed, the cross-entropy and perplexity a byte, the band, and kept."""
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(sorted_arrays(kneser_ney(cut(count_top(docs, lang, text), 200_000))))
-    rows = numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))).select("__rid", "doc_id", "lang", "text")
+    rows = numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))).select("__rid", "doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"))
     stats = cut(rows.mapInArrow(_score(model), STATS)).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     edge = cut(bands(stats.where("not base_failed"), width, least, few))
     own = edge.where("lang is not null")

@@ -266,6 +266,16 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     assert all(0 < v <= 1.0001 for v in by.values()) and max(by.values()) > 0.5
 
 
+def test_quality_rejects_what_no_other_text_supports(spark):
+    """A document is scored without itself, and a few odd ones among many alike fall out of the band."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 100), "en") for i in range(300)]
+    odd = [(1000 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz0123456789") for _ in range(6)) for _ in range(100)), "en") for i in range(3)]
+    got = {r.doc_id: r for r in perplexity.quality(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[d].kept for d, _, _ in odd) and sum(got[d].kept for d, _, _ in rows) >= 295
+    assert min(got[d].entropy for d, _, _ in odd) > 4.5  # 30 letters and a space: they'd have under 1 bit with their own counts
+
+
 def test_language(spark, awkward):
     rng = random.Random(5)
     langs = {"en": "the and with that from have".split(), "de": "und der nicht schon auch ein".split(), "fr": "les des une avec dans pour".split()}
