@@ -5,13 +5,15 @@ the document holds it. Each shingle is a Poisson process whose rate is its weigh
 and each falls on a random register, which keeps the shingle of its earliest arrival. A shingle stops as soon as its next
 arrival comes after the latest register of its document, so long documents need about one arrival a shingle. Two documents
 agree in a register with the probability Jaccard similarity of their weights; with unit weights that is the plain Jaccard.
-128 registers in 32 bands of 4 find a pair of similarity 0.8 with probability 1 - 5e-8.
+128 registers in 32 bands of 4 find a pair of similarity 0.8 with probability 1 - 5e-8. As a link may be one by its plain
+Jaccard alone (a near copy that repeats a passage has other weights), a second signature of unit weights is banded too,
+for texts that hold a shingle twice and, in the same buckets, for all others, whose two signatures are one and the same.
 
 Only one row a distinct text is banded. In each bucket every text is verified against the bucket's least one (a star, not
 all pairs); links give components. Where a bucket still holds several components, more stars follow, around a text that
 differs from bucket to bucket, and then pairs of different components: a pair is formed once, and only if its registers
-in a longer signature agree as a link's would (4.1 standard deviations below the threshold's mean are let through) and the triangle inequality
-over the distances to the bucket's least text allows a link. A link is a probability Jaccard or a plain Jaccard of at
+in a longer signature agree as a link's would (4.1 standard deviations below the threshold's mean are let through), by
+weights or by unit weights, and the triangle inequality over that distance to the bucket's least text allows a link. A link is a probability Jaccard or a plain Jaccard of at
 least the threshold, computed exactly from the whole texts.
 
 Defined cases: null texts equal the empty text; texts without a word are classes by equality alone; repeated rows and
@@ -96,19 +98,32 @@ def planes(sig: np.ndarray, bits: int = 2) -> np.ndarray:
     return np.packbits(part.astype(np.uint8).reshape(len(sig), -1), axis=1).view(np.int64)
 
 
+def unit_min_hash(row: np.ndarray, h: np.ndarray, weight: np.ndarray, registers: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that hold a shingle twice and their signatures of unit weights; any other row's is its signature by weights."""
+    again = np.unique(row[weight > 1])
+    some = np.isin(row, again)
+    return again, prob_min_hash(np.searchsorted(again, row[some]), h[some], np.ones(int(some.sum())), len(again), registers)
+
+
 def _fine(size: int, registers: int):
-    """(rid, planes): a longer signature, of two bits a register, for the few texts whose pairs are to be formed."""
+    """(rid, planes, unit): longer signatures, of two bits a register, for the few texts whose pairs are to be formed;
+    unit, of unit weights, is null where it equals planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(1))
-            got = [np.zeros((0, registers // 32), np.int64)]
+            got, unit = [np.zeros((0, registers // 32), np.int64)], []
             for i, j in pieces(off, 1 << 17):
                 row, h, weight = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
                 got.append(planes(prob_min_hash(row, h, weight, j - i, registers)))
+                own: list[np.ndarray | None] = [None] * (j - i)
+                again, sig = unit_min_hash(row, h, weight, registers)
+                for r, x in zip(again, planes(sig) if len(again) else sig, strict=True):
+                    own[r] = x
+                unit += own
             flat = np.concatenate(got)
             where = pa.array((np.arange(b.num_rows + 1) * flat.shape[1]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(where, pa.array(flat.ravel()))], ["rid", "planes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(where, pa.array(flat.ravel())), pa.array(unit, pa.list_(pa.int64()))], ["rid", "planes", "unit"])
 
     return run
 
@@ -117,14 +132,17 @@ def _sign(size: int, registers: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(2))
-            keys, n = [np.zeros((0, bands), U64)], [np.zeros(0, bool)]
+            keys, n = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
             for i, j in pieces(off):
                 row, h, weight = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
-                keys.append(band_keys(prob_min_hash(row, h, weight, j - i, registers), bands))
-                n.append(np.bincount(row, minlength=j - i) > 0)
-            some = np.concatenate(n)
-            where = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(where), pa.array(np.concatenate(keys)[some].ravel().view(np.int64)))
+                again, sig = unit_min_hash(row, h, weight, registers)
+                both, has = np.zeros((j - i, 2, bands), U64), np.zeros((j - i, 2), bool)
+                both[:, 0], has[:, 0] = band_keys(prob_min_hash(row, h, weight, j - i, registers), bands), np.bincount(row, minlength=j - i) > 0
+                both[again, 1], has[again, 1] = band_keys(sig, bands), True
+                keys.append(both[has].ravel())
+                n.append(has.sum(1))
+            where = np.concatenate([[0], np.cumsum(np.concatenate(n) * bands)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(where), pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["rid", "digest", "keys"])
 
     return run
@@ -193,7 +211,7 @@ def near_duplicates(
     signed = cut(rows.select("rid", digest.alias("digest"), "text").mapInArrow(_sign(size, registers, bands), "rid long, digest binary, keys array<long>"))
     texts_of = cut(signed.select("rid", "digest").groupBy("digest").agg(F.min("rid").alias("cid")))
     banded = only_among(signed.select(F.col("rid").alias("cid"), "keys"), "cid", texts_of.select("cid")).join(texts_of.select("cid"), "cid")
-    banded = banded.select("cid", F.explode("keys").alias("bucket"))
+    banded = banded.select("cid", F.explode(F.array_distinct("keys")).alias("bucket"))
     leads = banded.groupBy("bucket").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = cut(banded.join(leads, "bucket").where("cid <> b").select(F.col("cid").alias("a"), "b", "bucket"))
 
@@ -224,15 +242,17 @@ def near_duplicates(
         expect = threshold + (1 - threshold) / 4
         differ = int(fine * (1 - expect) + 4.1 * (fine * expect * (1 - expect)) ** 0.5)
         ids = apart.select("a").distinct()
-        info = only_among(texts, "rid", ids).join(ids.withColumnRenamed("a", "rid"), "rid").mapInArrow(_fine(size, fine), "rid long, planes array<long>")
+        info = only_among(texts, "rid", ids).join(ids.withColumnRenamed("a", "rid"), "rid").mapInArrow(_fine(size, fine), "rid long, planes array<long>, unit array<long>")
         info = info.join(only_among(signed.select("rid", "keys"), "rid", ids), "rid").withColumnRenamed("rid", "a")
         left = cut(apart.join(info, "a"))
-        right = left.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("a", "la", "plain", "prob", "keys", "planes")))
+        right = left.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("a", "la", "plain", "prob", "keys", "planes", "unit")))
         n = fine // 64
-        unlike = " + ".join(f"bit_count((planes[{w}] ^ planes2[{w}]) | (planes[{w + n}] ^ planes2[{w + n}]))" for w in range(n))
+        unlike = lambda x, y: " + ".join(f"bit_count(({x}[{w}] ^ {y}[{w}]) | ({x}[{w + n}] ^ {y}[{w + n}]))" for w in range(n))
+        # A link may be one by weights or by unit weights: a pair is dropped only where both signatures rule it out.
+        alike = f"({unlike('planes', 'planes2')} <= {differ} or ((unit is not null or unit2 is not null) and {unlike('coalesce(unit, planes)', 'coalesce(unit2, planes2)')} <= {differ}))"
         near = (F.abs(F.col("plain") - F.col("plain2")) <= far) | (F.abs(F.col("prob") - F.col("prob2")) <= far)
         pairs = left.join(right, "bucket").where(
-            (F.col("a") < F.col("a2")) & (F.col("la") != F.col("la2")) & near & F.expr(f"{unlike} <= {differ}") & F.expr("array_min(array_intersect(keys, keys2)) = bucket")
+            (F.col("a") < F.col("a2")) & (F.col("la") != F.col("la2")) & near & F.expr(alike) & F.expr("array_min(array_intersect(keys, keys2)) = bucket")
         )
         more = verified(cut(pairs.select("a", F.col("a2").alias("b")), 1000), texts, size).where(linked)
         if not more.isEmpty():
