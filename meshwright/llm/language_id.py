@@ -5,13 +5,15 @@ every row with a usable declared language), the declared markup language d throu
 is smoothed towards P(l | address suffix), which is smoothed towards P(l). P(d | l) and the priors come from grouped sums
 of the text's posteriors over all rows; a document's own share is taken out of its host's prior.
 
-Trigrams of a text are not independent, so a text counts as at most `effective` of them. The model has `SLOTS` slots for
-each of at most `max_langs` languages (those declared most often), which bounds what is broadcast to 8 MB by default.
+Trigrams of a text are not independent, so a text counts as at most `effective` of them. Every language that a row declares
+is learned, however rare, with add-0.5 smoothing. The model has `SLOTS` slots for each of at most `max_langs` languages,
+which bounds what is broadcast to 8 MB by default; more languages (two or three letters allow 18252) make more models,
+each of which scores all texts before the scores are joined by row.
 
 A document is rejected (kept = false) when its text has no trigram, when the best language explains it worse than
 uniformly random slots would, or when the fused posterior stays below `confidence`.
 
-Defined cases: a null or too short text gives the language "und" and is rejected; null, malformed or rare declared
+Defined cases: a null or too short text gives the language "und" and is rejected; null or malformed declared
 languages count as undeclared; a null host or suffix has a group of its own; an empty table gives no rows; repeated rows
 and null keys are documents of their own; other columns are ignored.
 """
@@ -31,7 +33,7 @@ SLOTS = 1 << 13
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[48:58] = 48
-SCORED = "__rid long, doc_id long, declared string, host string, suffix string, fit double, langs array<int>, scores array<float>"
+SCORED = "__rid long, doc_id long, declared string, host string, suffix string, fit double, langs array<int>, scores array<double>"
 
 
 def tag_of(declared: Column) -> Column:
@@ -75,6 +77,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.bincount(key, minlength=len(name) * SLOTS).reshape(-1, SLOTS)
             for k, x in enumerate(name):
                 held[x] = held.get(x, 0) + sums[k]
+            if len(held) > 512:
+                yield from _counted(held)
+                held = {}
+    yield from _counted(held)
+
+
+def _counted(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for x, sums in held.items():
         slot = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([x] * len(slot), pa.string()), pa.array(slot.astype(np.int32)), pa.array(sums[slot].astype(np.int64))], ["lang", "slot", "c"])
@@ -89,21 +98,26 @@ class TextModel:
         self.table = (np.log(p) + np.log(SLOTS)).astype(np.float32)
 
 
-def train(rows: DataFrame, max_langs: int = 256, min_rows: int = 20) -> TextModel:
-    """rows: (tag, text), tag null where nothing usable is declared."""
+def train(rows: DataFrame, max_langs: int = 256) -> list[TextModel]:
+    """Models of all declared languages, at most max_langs each. rows: (tag, text), tag null where nothing usable is declared."""
     told = rows.where("tag is not null")
-    most = told.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {min_rows}").orderBy(F.desc("n"), "tag").limit(max_langs)
-    names = sorted(r.tag for r in most.collect())
-    counts = np.zeros((SLOTS, len(names)))
-    if names:
-        sums = told.where(F.col("tag").isin(names)).select("tag", "text").mapInArrow(_count, "lang string, slot int, c long")
-        table = sums.groupBy("lang", "slot").agg(F.sum("c").alias("c")).toArrow()
-        col = {x: k for k, x in enumerate(names)}
+    names = sorted(r.tag for r in told.select("tag").distinct().collect())
+    chunks = [names[k : k + max_langs] for k in range(0, len(names), max_langs)]
+    sums = told.select("tag", "text").mapInArrow(_count, "lang string, slot int, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c"))
+    sums = cut(sums) if len(chunks) > 1 else sums
+    out = []
+    for chunk in chunks:
+        counts = np.zeros((SLOTS, len(chunk)))
+        table = (sums.where(F.col("lang").isin(chunk)) if len(chunks) > 1 else sums).toArrow()
+        col = {x: k for k, x in enumerate(chunk)}
         counts[table.column(1).to_numpy(), [col[x] for x in table.column(0).to_pylist()]] = table.column(2).to_numpy()
-    return TextModel(names, counts)
+        out.append(TextModel(chunk, counts))
+    return out or [TextModel([], np.zeros((SLOTS, 0)))]
+
 
+def _score(model, effective: int, before: int = 0, alone: bool = True):
+    """Scores by one model, whose languages are numbered from `before`; without `alone` they aren't normalised yet."""
 
-def _score(model, effective: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         n_langs = len(m.names)
@@ -119,22 +133,37 @@ def _score(model, effective: int):
             s, n = np.concatenate(sums), np.concatenate(n)
             fit = s.max(1) / np.maximum(n, 1) if n_langs else np.zeros(len(n))
             s = s * (np.minimum(n / 3, effective) / np.maximum(n, 1))[:, None]
-            s = s - s.max(1, keepdims=True) if n_langs else s
-            s = s - np.log(np.exp(s).sum(1, keepdims=True)) if n_langs else s
-            ok = (s > -30) & (n > 0)[:, None]
+            top = s.max(1, keepdims=True) if n_langs else s
+            whole = top + np.log(np.exp(s - top).sum(1, keepdims=True)) if n_langs else s
+            ok = (s - whole > -30) & (n > 0)[:, None]
+            s = s - whole if alone else s
             r, c = np.nonzero(ok)
             where = pa.array(np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:5], pa.array(fit), pa.ListArray.from_arrays(where, pa.array(c.astype(np.int32))), pa.ListArray.from_arrays(where, pa.array(s[r, c].astype(np.float32)))],
+                [*b.columns[:5], pa.array(fit), pa.ListArray.from_arrays(where, pa.array((c + before).astype(np.int32))), pa.ListArray.from_arrays(where, pa.array(s[r, c].astype(np.float64)))],
                 [x.split()[0] for x in SCORED.split(", ")],
             )
 
     return run
 
 
+def _joined(parts: list[DataFrame]) -> DataFrame:
+    """The scores of several models as those of one: normalised over all languages, those over 30 below it dropped."""
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.union(x)
+    first = [F.first(x).alias(x) for x in ("doc_id", "declared", "host", "suffix")]
+    rows = rows.groupBy("__rid").agg(*first, F.max("fit").alias("fit"), F.sort_array(F.flatten(F.collect_list(F.arrays_zip("langs", "scores")))).alias("x"))
+    top = F.array_max("x.scores")
+    whole = F.col("top") + F.log(F.aggregate("x.scores", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
+    rows = rows.withColumn("top", top).withColumn("whole", F.when(F.size("x") > 0, whole))
+    rows = rows.withColumn("x", F.filter("x", lambda v: v["scores"] - F.col("whole") > -30))
+    return rows.select("__rid", "doc_id", "declared", "host", "suffix", "fit", F.col("x.langs").alias("langs"), F.transform("x", lambda v: v["scores"] - F.col("whole")).alias("scores"))
+
+
 def identify(
     docs: DataFrame, key: str = "doc_id", text: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None,
-    model: TextModel | None = None, confidence: float = 0.5, effective: int = 200, host_weight: float = 20.0, suffix_weight: float = 50.0, declared_weight: float = 20.0,
+    model: list[TextModel] | None = None, confidence: float = 0.5, effective: int = 200, host_weight: float = 20.0, suffix_weight: float = 50.0, declared_weight: float = 20.0,
 ) -> DataFrame:
     """One row per document: doc_id, lang, confidence, kept, text_lang, and its row number __rid."""
     spark = docs.sparkSession
@@ -147,16 +176,20 @@ def identify(
             (suffix_of(host) if suffix is None else suffix).alias("suffix"), F.col(text).alias("text"),
         )
     )
-    model = train(rows, ) if model is None else model
-    names = F.array(*(F.lit(x) for x in model.names)) if model.names else F.array().cast("array<string>")
-    sent = spark.sparkContext.broadcast(model)
-    scored = cut(rows.select("__rid", "doc_id", "tag", "host", "suffix", "text").mapInArrow(_score(sent, effective), SCORED))
+    model = train(rows) if model is None else model
+    known = [x for m in model for x in m.names]
+    names = F.split(F.lit(",".join(known)), ",")
+    wanted, parts, before = rows.select("__rid", "doc_id", "tag", "host", "suffix", "text"), [], 0
+    for m in model:
+        parts.append(cut(wanted.mapInArrow(_score(spark.sparkContext.broadcast(m), effective, before, len(model) == 1), SCORED)))
+        before += len(m.names)
+    scored = parts[0] if len(parts) == 1 else cut(_joined(parts))
     long = scored.select("__rid", "declared", "host", "suffix", F.explode(F.arrays_zip("langs", "scores")).alias("x"))
     long = long.select("__rid", "declared", "host", "suffix", F.col("x.langs").alias("l"), F.col("x.scores").cast("double").alias("score")).withColumn("own", F.exp("score"))
 
     # Rounded sums: the result doesn't depend on the order of addition.
     by_host = cut(long.groupBy("host", "suffix", "declared", "l").agg((F.sum(F.round(F.col("own") * 1e6).cast("long")) / 1e6).alias("n")))
-    n_langs = max(1, len(model.names))
+    n_langs = max(1, len(known))
     world = by_host.groupBy("l").agg(F.sum("n").alias("n"))
     total = world.agg(F.sum("n").alias("total"))
     world = world.join(F.broadcast(total), F.lit(True)).select("l", ((F.col("n") + 1) / (F.col("total") + n_langs)).alias("p_world"), F.col("n").alias("n_world"))  # a row a language
@@ -174,7 +207,7 @@ def identify(
     )
     said = by_host.where("declared is not null").groupBy("declared", "l").agg(F.sum("n").alias("n_dl"))
     told = said.groupBy("l").agg(F.sum("n_dl").alias("n_l"))
-    at = F.element_at(names, F.col("l") + 1) if model.names else null
+    at = F.element_at(names, F.col("l") + 1) if known else null
     usual = F.when(F.col("declared") == at, F.lit(0.9)).otherwise(F.lit(0.1 / n_langs))
     said = said.join(told, "l").select(F.col("declared").alias("d2"), F.col("l").alias("dl"), ((F.col("n_dl") + declared_weight * usual) / (F.col("n_l") + declared_weight)).alias("p_said"))
 
@@ -188,7 +221,7 @@ def identify(
         F.max_by("l", F.struct("f", -F.col("l"))).alias("l"), F.max("f").alias("top"), F.max_by("l", F.struct("score", -F.col("l"))).alias("tl"), F.collect_list("f").alias("fs")
     )
     weight = F.aggregate("fs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    best = best.select("__rid", at.alias("lang"), (1 / weight).alias("confidence"), (F.element_at(names, F.col("tl") + 1) if model.names else null).alias("text_lang"))
+    best = best.select("__rid", at.alias("lang"), (1 / weight).alias("confidence"), (F.element_at(names, F.col("tl") + 1) if known else null).alias("text_lang"))
     out = scored.select("__rid", "doc_id", "fit").join(best, "__rid", "left")
     good = (F.col("fit") > 0) & (F.col("confidence") >= confidence)
     return out.select(

@@ -306,6 +306,19 @@ def test_language(spark, awkward):
     assert len(odd) >= 90 and odd[301].lang == "und" and not odd[300].kept and odd[5].kept
 
 
+def test_rare_languages_are_learned(spark):
+    """No language reaches 20 declared rows; and more languages than one model holds give the same result."""
+    rng = random.Random(6)
+    langs = {"en": "the and with that from have", "de": "und der nicht schon auch ein", "fr": "les des une avec dans pour", "fi": "ja ei joka kanssa mutta niin"}
+    rows = [(i, " ".join(rng.choice(langs[x].split()) for _ in range(40)), x) for i in range(40) for x in [sorted(langs)[i % 4 if i < 36 else 0]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = {r.doc_id: r for r in language_id.identify(df, declared=F.col("lang")).collect()}
+    assert all(one[i].lang == x and one[i].kept for i, _, x in rows)
+    parts = language_id.train(df.select(F.col("lang").alias("tag"), "text"), max_langs=1)
+    many = {r.doc_id: r for r in language_id.identify(df, declared=F.col("lang"), model=parts).collect()}
+    assert len(parts) == 4 and all((many[i].lang, many[i].kept) == (one[i].lang, one[i].kept) and abs(many[i].confidence - one[i].confidence) < 1e-6 for i in one)
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav><a href=/>home</a></nav><div class='ad'>buy</div><article><h1>Head &amp; more</h1><p>One  two<br>three<p>Four</p></article><div id=comments>me</div><script>var t='</p>'</script><footer>f</footer></body>"
     assert html_extraction.extract(page) == "Head & more\nOne two three\nFour"
