@@ -3,7 +3,8 @@
 Model: byte n-grams of order 5 with interpolated modified Kneser-Ney smoothing, one model a language, counted by Spark
 over every whole text. A task counts the distinct 5-grams of its texts (exactly, packed in 40 bits) before anything is
 shuffled; lower orders count distinct left extensions; discounts come from counts of counts. What a probability is made
-of ends in sorted arrays of exact keys (language and 5-gram), so no two n-grams share an entry.
+of ends in sorted arrays of exact keys (language and 5-gram), so no two n-grams share an entry. They
+are broadcast whole, 36 bytes an entry: memory bounds the number of distinct n-grams.
 
 A document is scored without itself: its own 5-grams are taken out of the counts, the totals and the freed mass of their
 contexts. A 5-gram that no other document holds is backed off to a lower order that has lost this one extension, and so
