@@ -200,15 +200,27 @@ def apply_dictionary(df: DataFrame, column: str, mapping: DataFrame) -> DataFram
 
 
 def similar_values(values: DataFrame, least: float = 0.9) -> DataFrame:
-    """(value, representative): values of one first letter and a length within a tenth whose similarity reaches
-    `least`, joined to components; the most frequent value represents. values: (value, n)."""
+    """(value, representative): values whose similarity reaches `least`, joined to components; the most frequent value
+    represents. values: (value, n).
+
+    No pair is lost: a text within k edits of one of length L holds one of its k + 1 segments unchanged, moved by at most
+    k places. So values are joined by (length, L, segment number, segment) before they are compared."""
     from meshwright.functions.iterate import components, cut
 
     v = cut(values.select("value", "n").withColumn("id", F.monotonically_increasing_id()))
-    keyed = v.withColumn("head", F.lower(F.substring("value", 1, 2))).withColumn("size", F.length("value"))
-    near = keyed.withColumn("cell", F.explode(F.expr("sequence(size div 4 - 1, size div 4 + 1)")))
-    other = keyed.select("head", F.expr("size div 4").alias("cell"), F.col("id").alias("b"), F.col("value").alias("vb"))
-    links = near.join(other, ["head", "cell"]).where((F.col("id") < F.col("b")) & (s.levenshtein_ratio(F.col("value"), F.col("vb")) >= least)).select(F.col("id").alias("a"), "b")
+    keyed = v.select("id", "value", F.lower("value").alias("low")).where("low is not null").withColumn("size", F.length("low"))
+    edits, start, end = f"cast(floor((1 - {least}D) * long + 1e-9) as int)", "cast(floor(seg * short / (k + 1)) as int)", "cast(floor((seg + 1) * short / (k + 1)) as int)"
+
+    def segments(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("k", F.expr(edits)).withColumn("seg", F.explode(F.expr("sequence(0, k)"))).withColumns({"from": F.expr(start), "to": F.expr(end)})
+
+    whole = keyed.withColumnRenamed("size", "short").withColumn("long", F.explode(F.expr(f"sequence(short, cast(floor(short / {least}D + 1e-9) as int))")))
+    whole = segments(whole).select("short", "long", "seg", F.expr("substring(low, `from` + 1, `to` - `from`)").alias("part"), F.col("id").alias("b"), F.col("value").alias("vb"))
+    probe = keyed.withColumnRenamed("size", "long").withColumn("short", F.explode(F.expr(f"sequence(cast(ceil({least}D * long - 1e-9) as int), long)")))
+    probe = segments(probe).withColumn("at", F.explode(F.expr("sequence(`from` - k, `from` + k)"))).where("at >= 0 and at + `to` - `from` <= long")
+    probe = probe.select("short", "long", "seg", F.expr("substring(low, at + 1, `to` - `from`)").alias("part"), "id", "value")
+    met = probe.join(whole, ["short", "long", "seg", "part"]).where("id <> b").select("id", "value", "b", "vb").distinct()
+    links = met.where(s.levenshtein_ratio(F.col("value"), F.col("vb")) >= least).select(F.col("id").alias("a"), "b")
     label = components(links)
     told = v.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     best = told.groupBy("label").agg(F.max_by("value", F.struct("n", "value")).alias("representative"))

@@ -122,3 +122,43 @@ def test_streaming_cleaner(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
     assert {(r.id, r.kind) for r in spark.table("cleaned").collect()} == {(1, "a"), (2, "b"), (3, "a")}
+
+
+def test_similar_values_against_all_pairs(spark):
+    import random
+
+    from meshwright.operators import clean
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    base = ["AUTOMOBILE", " AUTOMOBILE", "HOUSEHOLD", " HOUSEHOLD", "machinery", " MACHINERY", "", "x"] + ["".join(rng.choice("abc ") for _ in range(n)) for n in (20, 31, 40, 100)]
+    values = set(base)
+    for v in base[8:]:
+        for _ in range(6):
+            w = list(v)
+            for _ in range(rng.randint(1, len(v) // 9)):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], ["z"], ["z", w[k]]])
+            values.add("".join(w))
+    values.add(base[-1][10:])  # lengths 100 and 90
+    values = sorted(values)
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(values):
+        for j, b in enumerate(values[:i]):
+            if 10 * distance(a.lower(), b.lower()) <= max(len(a), len(b)):
+                root[find(i)] = find(j)
+    got = {r.value: r.representative for r in clean.similar_values(spark.createDataFrame([(v, 1) for v in values], "value string, n long")).collect()}
+    assert got == {v: max(w for j, w in enumerate(values) if find(j) == find(i)) for i, v in enumerate(values)}
