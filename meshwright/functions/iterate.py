@@ -1,30 +1,83 @@
-"""Helpers for jobs of several rounds: cutting lineage in the shared folder, and connected components."""
+"""Helpers for jobs of several rounds: cutting lineage in the shared folder, row identities, and connected components."""
 
 from __future__ import annotations
 
 import gc
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of its own only where it names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a local session takes one of its own;
+    on a cluster that is an error, because executors don't see each other's folders."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = os.path.join(tempfile.gettempdir(), "checkpoints")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(named)
     return named
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this engine wrote, in whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, rows: int = 0) -> DataFrame:
     """Materialises df in the shared checkpoint folder and cuts its lineage there; with `rows`, what follows reads about
-    as many rows a task, so that small tables of an iteration don't leave a shuffle file for every partition."""
+    as many rows a task, so that small tables of an iteration don't leave a shuffle file for every partition.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints, Spark deletes the files when the driver drops the table."""
     shared_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    return out.coalesce(out.count() // rows + 1) if rows else out
+    if not rows:
+        return df.checkpoint(eager=True)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return out.coalesce(seen.get["n"] // rows + 1)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, or a longer one that no column in `taken` has, whatever its case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is a table read from files, with nothing done to it."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
+def numbered(df: DataFrame, name: str, files: int = 10_000) -> DataFrame:
+    """df with a row identity: a long that a row keeps in every later job, whatever the cluster does in between.
+
+    A table read straight from at most `files` Parquet files takes the file's number and the row's place in it, neither of
+    which depends on how files are split among tasks. Any other table is written once to the shared folder with its numbers."""
+    if is_scan(df) and "_metadata" not in df.columns:
+        path, at, k = (fresh(x, df.columns) for x in ("__path", "__at", "__file"))
+        try:
+            told = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+        except Exception as e:  # a format without row numbers
+            if type(e).__name__ != "AnalysisException":
+                raise
+        else:
+            paths = sorted(r[0] for r in told.select(path).distinct().limit(files + 1).collect())
+            if len(paths) <= files:
+                number = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), f"`{path}` string, `{k}` long")
+                return told.join(F.broadcast(number), path).withColumn(name, F.shiftleft(k, 40) + F.col(at)).drop(path, at, k)
+    folder = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.withColumn(name, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
 
 def small(df: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -39,22 +92,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, label) of every id in links(a, b): label is the least id of its connected component.
 
-    Rounds of least-neighbour labels, each followed by pointer jumping, until nothing changes; every round is cut in
-    the shared folder, and nothing but a count comes to the driver."""
-    spark, rows = links.sparkSession, 50_000
+    With `known`, labels of earlier links, the new links join whole components: the rounds run over labels only, and the
+    result has the ids of both. Rounds of least-neighbour labels, each followed by pointer jumping, until nothing changes;
+    every round is cut in the shared folder, and nothing but a count comes to the driver."""
+    rows = 50_000
+    if known is not None:
+        la, lb = (known.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+        links = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), rows)
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), rows)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("least"))
-        step = cut(labels.join(near, "id").select("id", "label", F.least("label", "least").alias("new")), rows)
-        if step.where("label <> new").isEmpty():
-            return labels
+        step = labels.join(near, "id").select("id", "label", F.least("label", "least").alias("new"))
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("jumped"))
-        labels = cut(step.join(jump, "new").select("id", F.least("new", "jumped").alias("label")), rows)
-        release(spark)
+        moved = Observation()
+        told = step.join(jump, "new").select("id", F.least("new", "jumped").alias("label"), (F.col("label") != F.col("new")).alias("moved"))
+        labels = cut(told.observe(moved, F.sum(F.col("moved").cast("int")).alias("n")).drop("moved"), rows)
+        if not moved.get["n"]:
+            break
+    if known is None:
+        return labels
+    up = labels.withColumnsRenamed({"id": "label", "label": "higher"})
+    old = known.join(up, "label", "left").select("id", F.coalesce("higher", "label").alias("label"))
+    return cut(old.union(labels.join(known.select("id"), "id", "left_anti")), rows)
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
