@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.functions.iterate import components, cut, release, shared_folder, small  # noqa: F401 (re-exported)
+from meshwright.functions.iterate import components, cut, delete, fresh, is_scan, numbered, release, shared_folder, small  # noqa: F401 (re-exported)
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -110,23 +111,23 @@ def row_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that a Python worker holds a few MB of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Bounds the rows and bytes of an Arrow batch, so that a Python worker holds a few MB of text at a time. The setting
+    stays, because frames that are returned run later; a smaller one of the user's is kept."""
+    name = "spark.sql.execution.arrow.max{}PerBatch"
+    spark.conf.set(name.format("Records"), str(min(rows, int(spark.conf.get(name.format("Records"))) or rows)))
+    now = int(re.sub(r"\D", "", spark.conf.get(name.format("Bytes"))))  # Spark shows it in bytes
+    spark.conf.set(name.format("Bytes"), str(min(size, now) if now > 0 else size))
 
 
-#: Plan nodes that give the same rows in the same partitions and order whatever columns are asked of them.
-_STEADY = frozenset({"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "LogicalQueryStage"})
-
-
-def numbered(df: DataFrame, name: str = "__rid") -> DataFrame:
-    """Adds a row identity that a repeated or null key can't disturb.
-
-    It is stable for a table read from files. Where df is more than a scan (a shuffle below could deal rows out anew when
-    an executor is lost, or when other columns are asked for), df is first materialised in the shared folder."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {line.lstrip(" :+-|!'").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
-    return (df if nodes <= _STEADY else cut(df)).withColumn(name, F.monotonically_increasing_id())
+def rows_of(docs: DataFrame, row: str | None, **columns: Column) -> DataFrame:
+    """The named columns of docs and __rid, a row's identity: the column `row`, or a number that stays the same in all jobs."""
+    wanted = [c.alias(x) for x, c in columns.items()]
+    if row is None and not is_scan(docs):
+        return numbered(docs.select(*wanted), "__rid").select("__rid", *columns)
+    name = row or fresh("__rid", docs.columns)
+    told = docs if row else numbered(docs, name)
+    return told.select(F.col(f"`{name}`").alias("__rid"), *wanted)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshwright.llm._text import cut, numbered, small_batches
+from meshwright.llm._text import cut, rows_of, small_batches
 
 _PER_KEY = 8
 _RUN = "bucket int, digests binary, keys binary, rids binary, counts binary"
@@ -125,9 +125,9 @@ def _bit_of_digest() -> tuple[Column, Column]:
 
 
 def exact_dedup(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max", capacity: int = 1 << 16, rows_per_bucket: int = 1 << 19, digest_bytes: int = 16
+    docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max", capacity: int = 1 << 16, rows_per_bucket: int = 1 << 19, digest_bytes: int = 16, row: str | None = None
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (lowercase hex), and its row number __rid.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (lowercase hex), and its identity __rid (the column `row`, where named).
 
     digest_bytes < 16 weakens the index's digest (for tests of the byte verification).
     """
@@ -135,7 +135,7 @@ def exact_dedup(
     small_batches(spark, 10_000)
     sign = 1 if keep == "max" else -1
     null = -(1 << 63) if keep == "max" else (1 << 63) - 1
-    rows = numbered(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    rows = rows_of(docs, row, doc_id=F.col(key), text=F.coalesce(F.col(text), F.lit("")))
     rows = rows.withColumn("text_sha256", F.sha2("text", 256))
     digest = F.unhex(F.concat(F.substring("text_sha256", 1, 2 * digest_bytes), F.lit("0" * (32 - 2 * digest_bytes))))
     order_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(null))

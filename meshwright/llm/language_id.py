@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm._text import U64, cut, mix64, numbered, pieces, row_sums, small_batches, utf8
+from meshwright.llm._text import U64, cut, mix64, pieces, row_sums, rows_of, small_batches, utf8
 
 SLOTS = 1 << 13
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -164,17 +164,16 @@ def _joined(parts: list[DataFrame]) -> DataFrame:
 def identify(
     docs: DataFrame, key: str = "doc_id", text: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None,
     model: list[TextModel] | None = None, confidence: float = 0.5, effective: int = 200, host_weight: float = 20.0, suffix_weight: float = 50.0, declared_weight: float = 20.0,
+    row: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, lang, confidence, kept, text_lang, and its row number __rid."""
+    """One row per document: doc_id, lang, confidence, kept, text_lang, and its identity __rid (the column `row`, where named)."""
     spark = docs.sparkSession
     small_batches(spark)
     null = F.lit(None).cast("string")
     host = null if host is None else host
-    rows = numbered(
-        docs.select(
-            F.col(key).cast("long").alias("doc_id"), tag_of(null if declared is None else declared).alias("tag"), host.alias("host"),
-            (suffix_of(host) if suffix is None else suffix).alias("suffix"), F.col(text).alias("text"),
-        )
+    rows = rows_of(
+        docs, row, doc_id=F.col(key).cast("long"), tag=tag_of(null if declared is None else declared), host=host,
+        suffix=suffix_of(host) if suffix is None else suffix, text=F.col(text),
     )
     model = train(rows) if model is None else model
     known = [x for m in model for x in m.names]

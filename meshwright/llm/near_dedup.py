@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm._text import U64, components, cut, mix64, numbered, only_among, pieces, prefix_hash, release, small_batches, span_hash, utf8, words
+from meshwright.llm._text import U64, components, cut, mix64, only_among, pieces, prefix_hash, release, rows_of, small_batches, span_hash, utf8, words
 
 _STEP = U64(0x9E3779B97F4A7C15)
+_SLICE = 1 << 15  # shingles whose arrivals are held at once
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,18 +68,20 @@ def prob_min_hash(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: in
     while len(live):
         # A block of arrivals of every live shingle: exponential steps over its rate, and a register each.
         j = np.arange(k + 1, k + 1 + block, dtype=U64)
-        seed = mix64(h[live][:, None] + j * _STEP)
-        u = (seed >> U64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
-        t = x[:, None] + np.cumsum(-np.log(u), 1) / weight[live][:, None]
-        place = row[live][:, None] * registers + (mix64(seed ^ _STEP) % U64(registers)).astype(np.int64)
-        soon = t < when[place]
-        t_soon, p_soon, h_soon = t[soon], place[soon], np.broadcast_to(h[live][:, None], t.shape)[soon]
-        np.minimum.at(when, p_soon, t_soon)
-        won = when[p_soon] == t_soon
-        what[p_soon[won]] = h_soon[won]
+        for at in range(0, len(live), _SLICE):
+            some = live[at : at + _SLICE]
+            seed = mix64(h[some][:, None] + j * _STEP)
+            u = (seed >> U64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+            t = x[some][:, None] + np.cumsum(-np.log(u), 1) / weight[some][:, None]
+            place = row[some][:, None] * registers + (mix64(seed ^ _STEP) % U64(registers)).astype(np.int64)
+            soon = t < when[place]
+            t_soon, p_soon, h_soon = t[soon], place[soon], np.broadcast_to(h[some][:, None], t.shape)[soon]
+            np.minimum.at(when, p_soon, t_soon)
+            won = when[p_soon] == t_soon
+            what[p_soon[won]] = h_soon[won]
+            x[some] = t[:, -1]
         latest = when.reshape(n_rows, registers).max(1)
-        on = t[:, -1] < latest[row[live]]
-        live, x, k, block = live[on], t[on, -1], k + block, 16
+        live, k, block = live[x[live] < latest[row[live]]], k + block, 16
     return what.reshape(n_rows, registers)
 
 
@@ -131,7 +134,7 @@ def _fine(size: int, registers: int):
 def _sign(size: int, registers: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = utf8(b.column(2))
+            data, off = utf8(b.column(3))
             keys, n = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
             for i, j in pieces(off):
                 row, h, weight = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
@@ -143,7 +146,7 @@ def _sign(size: int, registers: int, bands: int):
                 n.append(has.sum(1))
             where = np.concatenate([[0], np.cumsum(np.concatenate(n) * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(where), pa.array(np.concatenate(keys).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["rid", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], lists], ["rid", "doc_id", "digest", "keys"])
 
     return run
 
@@ -163,27 +166,26 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return plain, float((1 / (1 + upper / x + lower / y)).sum())
 
 
-def _verify(size: int):
+def _verify(size: int, limit: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                b = batch.slice(at, 64)
-                got: list[tuple[float, float]] = []
+            both = [utf8(batch.column(c)) for c in (2, 3)]
+            got: list[tuple[float, float]] = []
+            for i, j in pieces(both[0][1] + both[1][1], limit):  # by the bytes of both sides
                 sides = []
-                for c in (2, 3):
-                    data, off = utf8(b.column(c))
-                    row, h, weight = shingles(data, off, size)
-                    edge = np.searchsorted(row, np.arange(b.num_rows + 1))
+                for data, off in both:
+                    row, h, weight = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
+                    edge = np.searchsorted(row, np.arange(j - i + 1))
                     sides.append([(h[s:e], weight[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True)])
-                got = [similarity(x, y) for x, y in zip(*sides, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))], ["a", "b", "plain", "prob"])
+                got += [similarity(x, y) for x, y in zip(*sides, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))], ["a", "b", "plain", "prob"])
 
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b, plain, prob) of pairs (a, b) of text numbers."""
-    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid")))
+    """(a, b, plain, prob) of pairs (a, b) of text numbers. pairs is read several times: it is cut or cheap."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
     some = only_among(texts, "rid", ids)
     left = pairs.join(some.withColumnRenamed("rid", "a").withColumnRenamed("text", "ta"), "a")
     both = left.join(some.withColumnRenamed("rid", "b").withColumnRenamed("text", "tb"), "b")
@@ -198,45 +200,41 @@ def _still_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 128, bands: int = 32, stars: int = 1, fine: int = 2048
-) -> DataFrame:
-    """One row per document: doc_id, class_id, text_id, class_size, kept, and its row number __rid.
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 128, bands: int = 32, fine: int = 2048, row: str | None = None
+) -> DataFrame:
+    """One row per document: doc_id, class_id, text_id, class_size, kept, and its identity __rid (the column `row`, where named).
 
     class_id and text_id are the least keys of the near-duplicate class and of the rows with the same text."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "rid")
+    rows = rows_of(docs, row, doc_id=F.col(key).cast("long"), text=F.coalesce(F.col(text), F.lit(""))).withColumnRenamed("__rid", "rid")
     texts = rows.select("rid", "text")
     digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    signed = cut(rows.select("rid", digest.alias("digest"), "text").mapInArrow(_sign(size, registers, bands), "rid long, digest binary, keys array<long>"))
+    signed = cut(rows.select("rid", "doc_id", digest.alias("digest"), "text").mapInArrow(_sign(size, registers, bands), "rid long, doc_id long, digest binary, keys array<long>"))
     texts_of = cut(signed.select("rid", "digest").groupBy("digest").agg(F.min("rid").alias("cid")))
     banded = only_among(signed.select(F.col("rid").alias("cid"), "keys"), "cid", texts_of.select("cid")).join(texts_of.select("cid"), "cid")
     banded = banded.select("cid", F.explode(F.array_distinct("keys")).alias("bucket"))
     leads = banded.groupBy("bucket").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = cut(banded.join(leads, "bucket").where("cid <> b").select(F.col("cid").alias("a"), "b", "bucket"))
 
+    star = verified(cut(met.select("a", "b").distinct(), 20_000), texts, size)
     release(spark)
-    star = verified(met.select("a", "b").distinct(), texts, size)
     linked = (F.col("plain") >= threshold) | (F.col("prob") >= threshold)
     labels = components(star.where(linked))
 
     # What a bucket still holds apart: first more stars, whose middle differs from bucket to bucket, ...
-    links = star.where(linked).select("a", "b")
-    members = met.join(star.select("a", "b", "plain", "prob"), ["a", "b"]).select("bucket", "a", "plain", "prob")
+    members = met.join(star, ["a", "b"]).select("bucket", "a", "plain", "prob")
     apart = _still_apart(members, labels)
-    for turn in range(stars):
-        if apart.isEmpty():
-            break
-        some = apart.where(F.pmod(F.xxhash64("bucket", F.lit(turn)), F.lit(4)) == 0)  # of 32 buckets a text, 8 are enough here
-        middle = some.groupBy("bucket").agg(F.min_by(F.struct("a", "la"), F.xxhash64("bucket", "a", F.lit(turn))).alias("m"))
-        pairs = some.join(middle, "bucket").where("la <> m.la").select(F.least("a", "m.a").alias("a"), F.greatest("a", "m.a").alias("b")).distinct()
-        links = cut(links.union(verified(cut(pairs, 1000), texts, size).where(linked).select("a", "b")), 50_000)
-        labels = components(links)
+    some = apart.where(F.pmod(F.xxhash64("bucket"), F.lit(4)) == 0)  # of 32 buckets a text, 8 are enough here
+    middle = some.groupBy("bucket").agg(F.min_by(F.struct("a", "la"), F.xxhash64("bucket", "a")).alias("m"))
+    pairs = cut(some.join(middle, "bucket").where("la <> m.la").select(F.least("a", "m.a").alias("a"), F.greatest("a", "m.a").alias("b")).distinct(), 2000)
+    if not pairs.isEmpty():
+        labels = components(verified(pairs, texts, size).where(linked), labels)
         apart = _still_apart(apart.select("bucket", "a", "plain", "prob"), labels)
+        release(spark)
 
     # ... then pairs, each in the least bucket that it shares, unless their registers or their distances to the bucket's
     # least text rule a link out.
-    release(spark)
     if not apart.isEmpty():
         far = 1 - threshold + 1e-9
         expect = threshold + (1 - threshold) / 4
@@ -254,13 +252,12 @@ def near_duplicates(
         pairs = left.join(right, "bucket").where(
             (F.col("a") < F.col("a2")) & (F.col("la") != F.col("la2")) & near & F.expr(alike) & F.expr("array_min(array_intersect(keys, keys2)) = bucket")
         )
-        more = verified(cut(pairs.select("a", F.col("a2").alias("b")), 1000), texts, size).where(linked)
+        more = verified(cut(pairs.select("a", F.col("a2").alias("b")), 2000), texts, size).where(linked)
         if not more.isEmpty():
-            labels = components(links.union(more.select("a", "b")))
+            labels = components(more, labels)
 
-    who = signed.select("rid", "digest").join(texts_of, "digest").select("rid", "cid")
-    who = who.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("rid", "cid", F.coalesce("label", "cid").alias("label"))
-    who = cut(rows.select("rid", "doc_id").join(who, "rid"))
+    who = signed.select("rid", "doc_id", "digest").join(texts_of, "digest")
+    who = cut(who.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("rid", "doc_id", "cid", F.coalesce("label", "cid").alias("label")))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     classes = who.groupBy("label").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("class_size"))
     same = who.groupBy("cid").agg(F.min(rank).alias("first"))

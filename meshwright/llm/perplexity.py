@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshwright.llm._text import U64, cut, mix64, numbered, pieces, prefix_hash, release, row_sums, small, small_batches, span_hash, utf8, words
+from meshwright.llm._text import U64, cut, mix64, pieces, prefix_hash, release, row_sums, rows_of, small, small_batches, span_hash, utf8, words
 
 ORDER = 5
 BIN = 1024  # bins a bit of cross-entropy
@@ -260,7 +260,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(sorted_arrays(kneser_ney(cut(count_top(docs, lang, text), 200_000))))
-    rows = numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))).select("__rid", "doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"))
+    rows = rows_of(docs, None, doc_id=F.col(key).cast("long"), lang=F.col(lang), text=F.col(text), text_hash=F.xxhash64(F.col(text)))
     stats = cut(rows.mapInArrow(_score(model), STATS)).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     edge = cut(bands(stats.where("not base_failed"), width, least, few))
     own = edge.where("lang is not null")

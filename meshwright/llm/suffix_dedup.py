@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm._text import U64, cut, mix64, numbered, only_among, pieces, prefix_hash, small_batches, span_hash, utf8
+from meshwright.llm._text import U64, cut, mix64, only_among, pieces, prefix_hash, rows_of, small_batches, span_hash, utf8
 
 GRAM = 32
 BITS = 26
@@ -403,7 +403,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, hot: int = 1 << 14, per_b
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 1 << 14, per_bucket: int = 40_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and what is left as kept_text (binary)."""
     small_batches(docs.sparkSession)
-    rows = numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")), "rid").select("rid", "doc_id", "raw")
+    rows = rows_of(docs, None, doc_id=F.col(key).cast("long"), raw=F.coalesce(F.col(text), F.lit("")).cast("binary")).withColumnRenamed("__rid", "rid")
     spans = repeated_spans(rows.select("rid", "raw"), length, hot, per_bucket)
     by_doc = spans.groupBy("rid").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     maybe = only_among(rows, "rid", spans.select("rid")).join(by_doc, "rid", "left").select("rid", "doc_id", "raw", "firsts", "lasts")
