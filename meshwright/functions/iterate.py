@@ -73,8 +73,9 @@ def numbered(df: DataFrame, name: str, files: int = 10_000) -> DataFrame:
         else:
             paths = sorted(r[0] for r in told.select(path).distinct().limit(files + 1).collect())
             if len(paths) <= files:
-                number = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), f"`{path}` string, `{k}` long")
-                return told.join(F.broadcast(number), path).withColumn(name, F.shiftleft(k, 40) + F.col(at)).drop(path, at, k)
+                number = df.sparkSession.range(0, 1, 1, 1).select(F.posexplode(F.lit(paths)).alias(k, path))
+                joined = told.join(F.broadcast(number), path) if len(paths) > 1 else told.withColumn(k, F.lit(0))
+                return joined.withColumn(name, F.shiftleft(F.col(k).cast("long"), 40) + F.col(at)).drop(path, at, k)
     folder = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.withColumn(name, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.parquet(folder)
@@ -115,7 +116,7 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
             break
     if known is None:
         return labels
-    up = labels.withColumnsRenamed({"id": "label", "label": "higher"})
+    up = labels.select(F.col("id").alias("label"), F.col("label").alias("higher"))
     old = known.join(up, "label", "left").select("id", F.coalesce("higher", "label").alias("label"))
     return cut(old.union(labels.join(known.select("id"), "id", "left_anti")), rows)
 
