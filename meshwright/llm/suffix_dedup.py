@@ -1,24 +1,28 @@
 """Removal of every byte under a string of `length` bytes that starts more than once, by a merge sort of suffixes.
 
-Equal strings of 200 bytes choose the same anchor: the leftmost least hash of their 32-byte grams. Windows that share an
-anchor are neighbours, so one suffix an anchor, from the anchor to the end of its last window, stands for them all; a
-scan counts anchors (one 64-bit hash for about 85 bytes of text), and only suffixes of anchors that occur twice go on.
-
-Each task sorts its suffixes and flushes them as front-coded runs: the common prefix with the suffix before, then the
-rest. Runs are exchanged by ranges of anchor hashes; a range merges its runs with a loser tree that carries common
-prefixes: of two heads the one sharing more with the last winner is less without a comparison, and equal prefixes are
-compared only behind them, so no known prefix is read again. The merge yields the sorted suffixes with their common
-prefixes. Two windows that begin `a` bytes before their anchor are equal when their suffixes share length - a bytes and
-the `a` bytes to the left agree, which one pass for each `a` settles for a whole range at once.
-
-Scale: identical suffixes of a task collapse, and where a task holds both copies it answers alone. Anchors above `hot`
-occurrences don't meet in one range: their windows go out by the hash of the whole window (128 bits), which spreads them.
-Repeated anchors are announced in a bitmap of 2**BITS bits; with more than 2**BITS / 8 of them, the scan takes as many
-rounds, each over its share of the hashes. Texts without a repeated byte never move.
+Equal strings of 200 bytes choose the same anchor: the leftmost least hash of their 32-byte grams. The windows of one anchor
+are neighbours, so its extent, from the first byte of its first window to the last byte of its last one, stands for them all.
+
+1. A scan counts anchors (one 64-bit hash for about 85 bytes of text). Those that occur twice set bits of a bitmap of
+   2**BITS bits, which only spares the next step's traffic: a bit set for no reason costs a row.
+2. A scan announces the extents of such anchors by a 128-bit BLAKE2b digest, once a task for equal ones. All windows of an
+   extent that occurs twice are repeated, wherever it lies. What is left to decide are extents that occur once and share
+   their anchor with a different extent.
+3. Bytes move for these alone, one suffix an extent, from the anchor to the end of the last window, and the bytes to the
+   anchor's left. Tasks sort suffixes and flush them as front-coded runs: the common prefix with the suffix before, then the
+   rest. Runs are exchanged by ranges of anchor hashes; a range merges its runs with a loser tree that carries common
+   prefixes: of two heads the one sharing more with the last winner is less without a comparison, and equal prefixes are
+   compared only behind them, so no known prefix is read again. Two windows that begin `a` bytes before their anchor are
+   equal when their suffixes share length - a bytes and the `a` bytes to their left agree; the left bytes are ranked with
+   their common prefixes in the same way, read backwards. Every such comparison is one of bytes.
+
+Scale: what moves grows with the number of distinct extents. An anchor with more than `hot` distinct extents does not meet
+in one range: its windows go out by blocks of BLOCK starts, to the range that the bytes common to all windows of the block
+choose, so equal windows still meet, and are compared in the same way.
 
 Defined cases: a null text is empty; texts below `length` bytes lose nothing by themselves; an empty table gives no rows;
-repeated rows are documents that repeat each other, so both lose their bytes; null keys are documents; other columns are
-ignored.
+repeated rows are documents that repeat each other, so both lose their bytes; ties (equal suffixes) are what is looked for;
+null keys are documents; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +34,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from meshwright.llm._text import U64, cut, mix64, only_among, pieces, prefix_hash, rows_of, small_batches, span_hash, utf8
+from meshwright.llm._text import U64, cut, mix64, only_among, pieces, prefix_hash, release, rows_of, small_batches, span_hash, utf8
 
 GRAM = 32
 BITS = 26
+BLOCK = 16
+HELD = 1 << 19  # extents that a task collapses at once
 RUN_BYTES = 16 << 20
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -197,6 +204,20 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
             k //= 2
 
 
+def left_classes(left: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings read backwards, and of each in that order the bytes that it shares with the one before."""
+    back = [x[::-1] for x in left]
+    order = np.array(sorted(range(len(left)), key=back.__getitem__), np.int64)
+    size = np.fromiter(map(len, left), np.int64, len(left))[order]
+    wide = max(1, int(size.max(initial=0)))
+    grid = np.zeros((len(left), wide), np.uint8)
+    inside = np.arange(wide) < size[:, None]
+    grid[inside] = np.frombuffer(b"".join([back[k] for k in order.tolist()]), np.uint8)
+    differ = (grid[1:] != grid[:-1]) | ~(inside[1:] & inside[:-1])
+    shared = np.where(differ.any(1), differ.argmax(1), wide)
+    return order, np.concatenate([[0], shared])
+
+
 def repeated_windows(lcp: np.ndarray, left: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
     """[entry, a]: whether the window that begins a bytes before the anchor has an equal among the other entries.
 
@@ -204,22 +225,18 @@ def repeated_windows(lcp: np.ndarray, left: list[bytes], least: np.ndarray, leng
     n, width = len(left), length - GRAM + 1
     out = np.zeros((n, width), bool)
     most = np.fromiter(map(len, left), np.int64, n)
-    lead = np.zeros((width, n), np.uint8)  # lead[a - 1]: the byte that lies a bytes before the anchor
-    for i, x in enumerate(left):
-        lead[: len(x), i] = np.frombuffer(x, np.uint8)[::-1]
-    seen = np.zeros(n, U64)
+    order, shared = left_classes(left)
+    same_left = np.zeros(n, np.int64)
     for a in range(width):
-        if a:
-            seen = mix64(seen * U64(31) + lead[a - 1].astype(U64) + U64(1))
         mine = np.flatnonzero((least <= a) & (a <= most))
         if len(mine) < 2:
             continue
-        same_right = np.cumsum(lcp < length - a)[mine].astype(U64)
-        key = mix64(seen[mine] ^ (same_right + U64(1)) * U64(0x9E3779B97F4A7C15))
-        order = np.argsort(key)
-        equal = key[order][1:] == key[order][:-1]
-        out[mine[order[1:][equal]], a] = True
-        out[mine[order[:-1][equal]], a] = True
+        same_left[order] = np.cumsum(shared < a)
+        key = same_left[mine] * (n + 1) + np.cumsum(lcp < length - a)[mine]
+        by = np.argsort(key, kind="stable")
+        equal = key[by][1:] == key[by][:-1]
+        out[mine[by[1:][equal]], a] = True
+        out[mine[by[:-1][equal]], a] = True
     return out
 
 
@@ -234,129 +251,116 @@ def ranges_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _SPANS = pa.schema([("rid", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
-_HOT = np.dtype([("x", "<u8"), ("y", "<u8"), ("rid", "<i8"), ("at", "<i4"), ("alone", "<i4")])
+_EXTENT = "h long, x long, y long, rid long, place int, least int, most int, n int, others array<struct<rid: long, place: int>>"
+_WHERE = pa.struct([("rid", pa.int64()), ("place", pa.int32())])
+
+
+def _extents(bitmap, length: int):
+    """The extents of anchors whose bit is set, equal ones of a task as one row: where one of them lies, how many they are,
+    and where the others lie."""
+
+    def table(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, x, y, rid, place, least, most = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(x)))
+        pick, rest = order[first], order[~new]
+        others = pa.StructArray.from_arrays([pa.array(rid[rest]), pa.array(place[rest].astype(np.int32))], fields=list(_WHERE))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - 1)]).astype(np.int32)), others)
+        i32 = lambda v: pa.array(v.astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h[pick].view(np.int64)), pa.array(x[first]), pa.array(y[first]), pa.array(rid[pick]), i32(place[pick]), i32(least[pick]), i32(most[pick]), i32(n), lists],
+            [c.split()[0] for c in _EXTENT.split(", ")[:8]] + ["others"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts, held = bitmap.value, [], 0
+        for b in batches:
+            rids = b.column(0).to_numpy()
+            for d, o, rows, base in split_long(*utf8(b.column(1)), length):
+                r, place, h, first, last = anchors(d, o, length)
+                bit = h >> U64(64 - BITS)
+                some = np.flatnonzero((words[(bit >> U64(6)).astype(np.int64)] >> (bit & U64(63))) & U64(1))
+                if not len(some):
+                    continue
+                r, place, h, first, last = r[some], place[some], h[some], first[some], last[some]
+                raw = memoryview(d.tobytes())
+                digest = b"".join([hashlib.blake2b(raw[f:e], digest_size=16).digest() for f, e in zip(first.tolist(), (last + length).tolist(), strict=True)])
+                x, y = np.frombuffer(digest, np.int64).reshape(-1, 2).T
+                parts.append((h, x, y, rids[rows[r]], place - o[r] + base[r], place - last, place - first))
+                held += len(some)
+                if held >= HELD:
+                    yield table(parts)
+                    parts, held = [], 0
+        if parts:
+            yield table(parts)
+
+    return run
 
 
-def _spans(rid, first, last) -> pa.Table:
-    return pa.table([pa.array(np.asarray(v, t)) for v, t in ((rid, np.int64), (first, np.int32), (last, np.int32))], schema=_SPANS)
+def _ship(length: int, buckets: int):
+    """Front-coded runs (bucket, blob) of the extents that a text is asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for bucket, entries in held.items():
+                entries.sort()
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([front_code(entries, length)], pa.binary())], ["bucket", "blob"])
+            held.clear()
+
+        for b in batches:
+            asked = b.column(2)
+            at = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+            each = asked.flatten()
+            place, least, most, h, alone, hot = (each.field(k).to_numpy(zero_copy_only=False) for k in range(6))
+            bucket = (mix64(h.astype(np.int64).view(U64)) >> U64(16)) % U64(buckets)
+            rids = b.column(0).to_pylist()
+            for i, raw in enumerate(b.column(1).to_pylist()):
+                for k in range(at[i], at[i + 1]):
+                    q, lo, hi, to = int(place[k]), int(least[k]), int(most[k]), int(bucket[k])
+                    blocks = [(to, lo, hi)]
+                    if hot[k]:  # by what all windows of a block share
+                        blocks = []
+                        for a in range(lo // BLOCK * BLOCK, hi + 1, BLOCK):
+                            core = hashlib.blake2b(raw[q - a : q - a - BLOCK + 1 + length], digest_size=8).digest()
+                            blocks.append((int.from_bytes(core) % buckets, max(lo, a), min(hi, a + BLOCK - 1)))
+                    for to, low, high in blocks:
+                        held.setdefault(to, []).append((raw[q : q - low + length], raw[q - high : q], rids[i], q, low, int(alone[k])))
+                        size += high - low + length + 300
+                if size > RUN_BYTES:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return run
 
 
 def _resolve(length: int):
-    """A group of runs of one range of anchors, of windows of one range of hashes, or of answers that tasks found alone."""
+    """The repeated windows of extents that occur once, from the runs of one range."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        kind = key[0].as_py()
-        blobs = group.column("blob").to_pylist()
-        if kind == 2:
-            a = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in blobs])
-            return _spans(*a.T)
-        if kind == 1:
-            a = np.concatenate([np.frombuffer(x, _HOT) for x in blobs])
-            a = a[np.lexsort((a["y"], a["x"]))]
-            equal = (a["x"][1:] == a["x"][:-1]) & (a["y"][1:] == a["y"][:-1])
-            twice = np.zeros(len(a), bool)
-            twice[1:] |= equal
-            twice[:-1] |= equal
-            a = a[twice & (a["alone"] > 0)]
-            return _spans(a["rid"], a["at"], a["at"])
-        runs = [read_run(x, length) for x in blobs]
+        runs = [read_run(x, length) for x in group.column("blob").to_pylist()]
         order = list(merge_runs([(s, m["lcp"].tolist()) for m, s, _ in runs]))
         lcp = np.fromiter((x[2] for x in order), np.int64, len(order))
-        # An anchor that is alone in the end: a shared bit in the bitmap.
+        # An extent whose gram no other one of the range has: a shared hash.
         paired = lcp >= GRAM
         paired[:-1] |= paired[1:]
         keep = np.flatnonzero(paired)
         if not len(keep):
-            return _spans([], [], [])
+            return _SPANS.empty_table()
+        lcp = np.minimum.reduceat(lcp[: keep[-1] + 1], np.concatenate([[0], keep[:-1] + 1]))  # over those left out
         meta = np.concatenate([runs[order[k][0]][0][order[k][1] : order[k][1] + 1] for k in keep])
         left = [runs[order[k][0]][2][order[k][1]] for k in keep]
-        repeated = repeated_windows(lcp[keep], left, meta["least"].astype(np.int64), length)
+        repeated = repeated_windows(lcp, left, meta["least"].astype(np.int64), length)
         repeated &= (meta["alone"] > 0)[:, None]
         row, first, last = ranges_of(repeated)
-        return _spans(meta["rid"][row], meta["place"][row] - last, meta["place"][row] - first)
-
-    return run
-
-
-def _emit(bitmap, hot_bitmap, length: int, buckets: int, rounds: int, turn: int):
-    def bit_set(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-        x = h >> U64(64 - BITS)
-        return (words[(x >> U64(6)).astype(np.int64)] >> (x & U64(63))) & U64(1) == 1
-
-    def row(kind: int, bucket: int, blob: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["kind", "bucket", "blob"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        own = TaskContext.get().partitionId() % buckets
-        words, hot_words = bitmap.value, hot_bitmap.value
-        held: dict[tuple, list] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            """Sorted runs by bucket; and what this task alone holds twice."""
-            by_bucket: dict[int, list] = {}
-            both: list[tuple[int, int, int]] = []
-            for (suffix, lead, least, bucket), where in held.items():
-                if len(where) > 1:
-                    both += [(rid, place - len(lead), place - least) for rid, place in where]
-                by_bucket.setdefault(bucket, []).append((suffix, lead, *where[0], least, int(len(where) == 1)))
-            held.clear()
-            for bucket, entries in by_bucket.items():
-                entries.sort()
-                yield row(0, bucket, front_code(entries, length))
-            if both:
-                yield row(2, own, np.array(both, np.int64).tobytes())
-
-        for b in batches:
-            rids = b.column(0).to_numpy()
-            data, off = utf8(b.column(1))
-            hot_windows = []
-            for d, o, rows, base in split_long(data, off, length):
-                r, place, h, first, last = anchors(d, o, length)
-                some = np.flatnonzero(bit_set(words, h) & ((h & U64(0xFFFFFFFF)) % U64(rounds) == U64(turn)))
-                if not len(some):
-                    continue
-                is_hot = bit_set(hot_words, h[some])
-                for i in some[is_hot]:  # every window of a hot anchor on its own
-                    w = np.arange(first[i], last[i] + 1)
-                    hot_windows.append(np.stack([np.full(len(w), rids[rows[r[i]]]), w - o[r[i]] + base[r[i]], w]))
-                if is_hot.any():
-                    at = np.concatenate([x[2] for x in hot_windows])
-                    forth, back = prefix_hash(d), prefix_hash(mix64(d.astype(U64) + U64(77)))
-                    out = np.zeros(len(at), _HOT)
-                    out["x"], out["y"] = span_hash(forth, at, at + length), span_hash(back, at, at + length)
-                    out["rid"], out["at"] = (np.concatenate([x[k] for x in hot_windows]) for k in (0, 1))
-                    hot_windows = []
-                    order = np.lexsort((out["y"], out["x"]))
-                    out = out[order]
-                    new = np.concatenate([[True], (out["x"][1:] != out["x"][:-1]) | (out["y"][1:] != out["y"][:-1])])
-                    count = np.diff(np.append(np.flatnonzero(new), len(out)))
-                    out["alone"] = np.repeat(count == 1, count)
-                    twice = out[out["alone"] == 0]
-                    if len(twice):
-                        yield row(2, own, np.stack([twice["rid"], twice["at"], twice["at"]], 1).astype(np.int64).tobytes())
-                    out = out[new]
-                    to = (out["x"] >> U64(32)) % U64(buckets)
-                    for k in np.unique(to):
-                        yield row(1, int(k), out[to == k].tobytes())
-                bucket = ((h >> U64(16)) & U64(0xFFFFFF)) % U64(buckets)
-                raw = d.tobytes()
-                for i in some[~is_hot].tolist():
-                    q, f, e = int(place[i]), int(first[i]), int(last[i])
-                    key = (raw[q : e + length], raw[f:q], q - e, int(bucket[i]))
-                    where = (int(rids[rows[r[i]]]), int(q - o[r[i]] + base[r[i]]))
-                    if key in held:
-                        held[key].append(where)
-                        size += 64
-                    else:
-                        held[key] = [where]
-                        size += e + length - f + 400
-                    if size > RUN_BYTES:
-                        yield from flush()
-                        size = 0
-        yield from flush()
+        return pa.table([pa.array(meta["rid"][row]), pa.array((meta["place"][row] - last).astype(np.int32)), pa.array((meta["place"][row] - first).astype(np.int32))], schema=_SPANS)
 
     return run
 
@@ -385,19 +389,27 @@ def kept_bytes(raw: bytes, firsts: list[int], lasts: list[int], length: int) ->
 def repeated_spans(rows: DataFrame, length: int = 200, hot: int = 1 << 14, per_bucket: int = 40_000) -> DataFrame:
     """(rid, first, last): ranges of starts of repeated windows. rows: (rid, raw)."""
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast
     counts = rows.select("raw").mapInArrow(_count(length), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    repeated = cut(counts.where("c > 1"))
-    n, total = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    words, hot_words = sent(_bitmap(repeated)), sent(_bitmap(repeated.where(F.col("c") > hot)))
-    rounds = -(-n // (1 << BITS - 3)) or 1
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (per_bucket * rounds)))
-    out = None
-    for turn in range(rounds):
-        runs = rows.mapInArrow(_emit(words, hot_words, length, buckets, rounds, turn), "kind int, bucket int, blob binary")
-        spans = runs.groupBy("kind", "bucket").applyInArrow(_resolve(length), "rid long, first int, last int")
-        out = spans if out is None else out.unionByName(spans)
-    return cut(out)
+    bitmap = spark.sparkContext.broadcast(_bitmap(counts.where("c > 1")))
+    release(spark)
+    same = Window.partitionBy("x", "y")
+    found = rows.mapInArrow(_extents(bitmap, length), _EXTENT).withColumn("c", F.sum("n").over(same)).withColumn("lead", F.min(F.struct("rid", "place")).over(same) == F.struct("rid", "place"))
+    found = cut(found.where("lead or c > 1").drop("x", "y", "n"))
+    release(spark)
+    every = F.concat(F.array(F.struct("rid", "place")), "others")
+    sure = found.where("c > 1").select(F.explode(every).alias("o"), "least", "most").selectExpr("o.rid AS rid", "o.place - most AS first", "o.place - least AS last")
+
+    # Anchors with an extent that occurs once and with another one.
+    lead = found.where("lead").select("h", "rid", "place", "least", "most", (F.col("c") == 1).alias("alone"))
+    mixed = cut(lead.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any")).where("n > 1 AND any").select("h", (F.col("n") > hot).alias("hot"), "n"))
+    total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    asked = only_among(lead, "h", mixed.select("h")).join(mixed.select("h", "hot"), "h")
+    asked = cut(asked.groupBy("rid").agg(F.collect_list(F.struct("place", "least", "most", "h", "alone", "hot")).alias("asked")))
+    texts = only_among(rows, "rid", asked.select("rid")).join(asked, "rid").select("rid", "raw", "asked")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // per_bucket))
+    runs = texts.mapInArrow(_ship(length, buckets), "bucket int, blob binary")
+    more = cut(runs.groupBy("bucket").applyInArrow(_resolve(length), "rid long, first int, last int"))
+    return sure.unionByName(more)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 1 << 14, per_bucket: int = 40_000) -> DataFrame:
