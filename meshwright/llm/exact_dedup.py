@@ -5,16 +5,17 @@ memtable flushes as a sorted run, and the task's own runs are compacted before a
 Compaction proper: runs are split at digest prefixes. A prefix range adds its runs to a counting Bloom filter, drops
 what the filter proves to be in one run only, and merges the rest, keeping one identifier a digest: the smallest
 (keep="min") or the largest (keep="max") pair of key and row number.
-Hits: digests that occur more than once. Every row of a hit is compared with the kept row's text byte by byte;
-rows that differ (a digest collision) are grouped again by the text itself.
+Hits: digests that occur more than once. The rows of hits are grouped by their bytes, each task combining its copies before
+anything is shuffled; a digest with two texts (a collision) takes its groups from there instead of from the index.
 
-A hot text costs each task one entry, whatever its copies. A bitmap of fixed size (2**24 bits, broadcast) keeps the text
-of rows that are no hit out of the shuffle; the more of its bits are set, the less it saves. Byte verification is one
-inner join of rows with kept texts on the digest, which adaptive execution can split where a digest is hot.
+A hot text costs each task one entry in the index and one text in the verification, whatever its copies. A bitmap of fixed
+size (2**24 bits, broadcast) keeps the rows of no hit out of both shuffles; the more of its bits are set, the less it saves.
+Verdicts reach rows by the digest: groups above a 10,000th of all rows (so 10,000 of them at most) are broadcast, and
+what is left has no key with more rows than that.
 
 Defined cases: a null text equals the empty text; a null key counts as the smallest identifier under keep="max" and
-as the largest under keep="min"; rows that repeat with key and text are still rows of their own and one of them stays;
-an empty table gives no rows; other input columns are ignored.
+as the largest under keep="min", as does the key that is the least or largest long itself; rows that repeat with key and text
+are still rows of their own and one of them stays; an empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshwright.llm._text import cut, rows_of, small_batches
+from meshwright.llm._text import cut, only_among, rows_of, small, small_batches
 
 _PER_KEY = 8
 _RUN = "bucket int, digests binary, keys binary, rids binary, counts binary"
@@ -108,22 +109,18 @@ def _compact(group: pa.Table) -> pa.Table:
     for r in runs:
         add_to_filter(table, r[0])
     met = [in_two_runs(table, r[0]) | (r[3] > 1) for r in runs]
-    digest, _, rid, count = merge_runs([tuple(x[m] for x in r) for r, m in zip(runs, met, strict=True)])
+    digest, best, rid, count = merge_runs([tuple(x[m] for x in r) for r, m in zip(runs, met, strict=True)])
     hit = count > 1
     return pa.table(
         {
             "digest": pa.array([digest[i].tobytes() for i in np.flatnonzero(hit)], pa.binary()),
+            "keep": pa.array(best[hit]),
             "keep_rid": pa.array(rid[hit]),
             "group_size": pa.array(count[hit]),
         }
     )
 
 
-def _bit_of_digest() -> tuple[Column, Column]:
-    """A digest's place in a bitmap of 2**24 bits: the word's number and the bit within it."""
-    return F.expr("shiftrightunsigned(xxhash64(digest), 46)"), F.expr("shiftleft(1L, cast(xxhash64(digest) & 63 AS int))")
-
-
 def exact_dedup(
     docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max", capacity: int = 1 << 16, rows_per_bucket: int = 1 << 19, digest_bytes: int = 16, row: str | None = None
 ) -> DataFrame:
@@ -135,45 +132,44 @@ def exact_dedup(
     small_batches(spark, 10_000)
     sign = 1 if keep == "max" else -1
     null = -(1 << 63) if keep == "max" else (1 << 63) - 1
+    kind = dict(docs.select(F.col(key).alias("k")).dtypes)["k"]
     rows = rows_of(docs, row, doc_id=F.col(key), text=F.coalesce(F.col(text), F.lit("")))
     rows = rows.withColumn("text_sha256", F.sha2("text", 256))
     digest = F.unhex(F.concat(F.substring("text_sha256", 1, 2 * digest_bytes), F.lit("0" * (32 - 2 * digest_bytes))))
     order_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(null))
-    entries = rows.select(digest.alias("digest"), (order_key if sign > 0 else -order_key - 1).alias("key"), (F.col("__rid") * sign).alias("rid"))
+    rows = rows.withColumns({"digest": digest, "key": order_key if sign > 0 else -order_key - 1, "rank": F.col("__rid") * sign})
 
     total = docs.count()
     buckets = max(1, -(-total // rows_per_bucket), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4096))
-    runs = entries.mapInArrow(_flush_runs(capacity, buckets), _RUN)
-    hits = cut(runs.groupBy("bucket").applyInArrow(_compact, "digest binary, keep_rid long, group_size long")).withColumn("keep_rid", F.col("keep_rid") * sign)
-
-    # Byte verification: the rows of a hit against the text that stays.
-    some = rows.withColumn("digest", digest)
-    word, bit = _bit_of_digest()
-    bitmap = hits.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    some = some.join(F.broadcast(bitmap), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")  # at most 2**18 rows
-    stay = some.select(F.col("__rid").alias("keep_rid"), F.col("text").alias("keep_text"), F.col("doc_id").alias("keep_id"))
-    stay = hits.join(stay, "keep_rid").select("digest", "keep_rid", "keep_id", "keep_text", "group_size")
-    checked = cut(
-        some.join(stay, "digest").select("__rid", "keep_id", "keep_rid", "group_size", (F.col("text") == F.col("keep_text")).alias("same"))
-    )
-    verified = checked.where("same")
-    strays = checked.where("not same").select("__rid")
-    if not strays.isEmpty():
-        size = verified.groupBy("keep_rid").agg(F.count(F.lit(1)).alias("group_size"))
-        verified = verified.drop("group_size").join(size, "keep_rid")
-    verified = verified.select("__rid", "keep_id", "group_size", (F.col("__rid") == F.col("keep_rid")).alias("kept"))
-    if not strays.isEmpty():
-        again = rows.join(strays, "__rid").select("__rid", "doc_id", "text", order_key.alias("k"))
-        best = Window.partitionBy("text").orderBy(F.col("k").desc() if sign > 0 else F.col("k").asc(), F.col("__rid").desc() if sign > 0 else F.col("__rid").asc())
-        verified = verified.unionByName(
-            again.select("__rid", F.first("doc_id").over(best).alias("keep_id"), F.count(F.lit(1)).over(Window.partitionBy("text")).alias("group_size"), (F.row_number().over(best) == 1).alias("kept"))
-        )
-    out = rows.select("__rid", "doc_id", "text_sha256").join(verified.withColumn("met", F.lit(True)), "__rid", "left")
+    runs = rows.select("digest", "key", "rank").mapInArrow(_flush_runs(capacity, buckets), _RUN)
+    hits = cut(runs.groupBy("bucket").applyInArrow(_compact, "digest binary, keep long, keep_rid long, group_size long"))
+
+    # Byte verification of the hits' rows.
+    maybe = only_among(rows, "digest", hits.select("digest"))
+    texts = maybe.groupBy("digest", "text_sha256", "text").agg(F.max(F.struct("key", "rank")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    texts = texts.join(hits.select("digest"), "digest", "left_semi").select("digest", "text_sha256", F.col("best.key").alias("keep"), F.col("best.rank").alias("keep_rid"), "group_size")
+    collided = cut(texts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("digest"))).where("n > 1").drop("n"))
+    narrow = maybe.select("__rid", "doc_id", "text_sha256", "digest")
+    alone = only_among(rows, "digest", hits.select("digest"), without=True).select("__rid", "doc_id", "text_sha256")
+    verdicts = []
+    if not collided.isEmpty():
+        verdicts.append(narrow.join(collided.drop("digest"), "text_sha256"))
+        hits = hits.join(collided.select("digest"), "digest", "left_anti")
+        narrow = narrow.join(small(collided.select("digest").distinct()), "digest", "left_anti")
+    large = F.col("group_size") > max(1, total // 10_000)
+    verdicts.append(narrow.join(F.broadcast(hits.where(large)), "digest"))
+    rest = narrow.join(F.broadcast(hits.where(large).select("digest")), "digest", "left_anti")
+    verdicts.append(rest.join(hits.where(~large), "digest", "left"))
+    none = {"keep": F.lit(None).cast("long"), "keep_rid": F.lit(None).cast("long"), "group_size": F.lit(None).cast("long")}
+    out = alone.withColumns(none)
+    for v in verdicts:
+        out = out.unionByName(v.select(*out.columns))
+    keep_key = F.col("keep") if sign > 0 else -F.col("keep") - 1
     return out.select(
         "doc_id",
-        F.when(F.col("met"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.when(F.col("keep").isNull(), F.col("doc_id")).when(keep_key != null, keep_key.cast(kind)).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce("kept", F.lit(True)).alias("kept"),
+        F.coalesce(F.col("keep_rid") * sign == F.col("__rid"), F.lit(True)).alias("kept"),
         "text_sha256",
         "__rid",
     )
