@@ -3,8 +3,9 @@
 Model: byte n-grams of order 5 with interpolated modified Kneser-Ney smoothing, one model a language, counted by Spark
 over every whole text. A task counts the distinct 5-grams of its texts (exactly, packed in 40 bits) before anything is
 shuffled; lower orders count distinct left extensions; discounts come from counts of counts. What a probability is made
-of ends in sorted arrays of exact keys (language and 5-gram), so no two n-grams share an entry. They
-are broadcast whole, 36 bytes an entry: memory bounds the number of distinct n-grams.
+of ends in sorted arrays of exact keys (language and 5-gram), so no two n-grams share an entry. The arrays are cut by a
+hash of (language, context) into parts of at most PART entries of 36 bytes; a part is broadcast, all texts are scored by
+it, and it is dropped. A text's bits are the sum over the parts, so the model may grow with the corpus and memory doesn't.
 
 A document is scored without itself: its own 5-grams are taken out of the counts, the totals and the freed mass of their
 contexts. A 5-gram that no other document holds is backed off to a lower order that has lost this one extension, and so
@@ -32,6 +33,7 @@ from pyspark.sql.window import Window
 from meshwright.llm._text import U64, cut, mix64, pieces, prefix_hash, release, row_sums, rows_of, small, small_batches, span_hash, utf8, words
 
 ORDER = 5
+PART = 1 << 22  # entries of the model that are broadcast at once
 BIN = 1024  # bins a bit of cross-entropy
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -135,9 +137,11 @@ def kneser_ney(top: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Sorted arrays of one row a (language, 5-gram); key: the language's number before the packed 5-gram."""
+    """One part of the model: sorted arrays of one row a (language, 5-gram); key: the language's number before the packed
+    5-gram. It holds all 5-grams of a context or none."""
 
-    def __init__(self, names: list[str], discounts: np.ndarray, key: np.ndarray, c: np.ndarray, total: np.ndarray, freed: np.ndarray, q: np.ndarray, q_less: np.ndarray):
+    def __init__(self, part: int, parts: int, names: list[str], discounts: np.ndarray, key: np.ndarray, c: np.ndarray, total: np.ndarray, freed: np.ndarray, q: np.ndarray, q_less: np.ndarray):
+        self.part, self.parts = part, parts
         self.names = {x: k for k, x in enumerate(names)}
         self.discounts, self.key = discounts, key
         self.c, self.total, self.freed, self.q, self.q_less = c, total, freed, q, q_less
@@ -147,6 +151,11 @@ class Model:
         if not len(g) or not len(self.key):
             return np.zeros(len(at) - 1)
         row = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at))
+        if self.parts > 1:
+            here = part_of(g >> 8, lang[row], self.parts) == self.part
+            row, g = row[here], g[here]
+            if not len(g):
+                return np.zeros(len(at) - 1)
         mine = np.sort(row << 40 | g)
         first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
         own = np.diff(np.append(first, len(mine)))
@@ -172,18 +181,29 @@ class Model:
         return np.bincount(row, cost, len(at) - 1)
 
 
-def sorted_arrays(model: DataFrame) -> Model:
-    """The model of kneser_ney with exact keys."""
-    told = model.groupBy("lang").agg(*(F.first(x).alias(x) for x in ("d1", "d2", "d3"))).orderBy("lang").collect()
+def part_of(ctx, lang, parts: int):
+    """The part of the model that has a context; the same arithmetic on numpy arrays and on columns."""
+    return (ctx * 40503 + lang * 7919) % 1000003 % parts
+
+
+def sorted_arrays(model: DataFrame, limit: int = PART) -> Iterator[Model]:
+    """The parts of the model of kneser_ney (cut), one after the other."""
+    told = model.groupBy("lang").agg(*(F.first(x).alias(x) for x in ("d1", "d2", "d3"))).orderBy("lang").collect()  # a row a language
     names = [r.lang for r in told]
-    number = model.sparkSession.createDataFrame([(x, k) for k, x in enumerate(names)], "lang string, number long")
+    number = F.broadcast(model.sparkSession.createDataFrame([(x, k) for k, x in enumerate(names)], "lang string, number long"))
+    rows = model.join(number, "lang")
+    ctx, parts = F.shiftright("gram", 8), max(1, -(-model.count() // limit))
+    while parts > 1 and (rows.groupBy(part_of(ctx, F.col("number"), parts).alias("p")).count().agg(F.max("count")).first()[0]) > limit:
+        parts += -(-parts // 4)
     key = F.shiftleft("number", 40).bitwiseOR(F.col("gram")).alias("key")
     f = lambda x: F.col(x).cast("float").alias(x)
-    table = model.join(F.broadcast(number), "lang").select(key, "c", "total", f("freed"), f("q"), f("q_less")).toArrow()
-    cols = [table.column(k).to_numpy() for k in range(6)]
-    order = np.argsort(cols[0])
     discounts = np.array([[0.0, r.d1, r.d2, r.d3] for r in told]).reshape(-1, 4)
-    return Model(names, discounts, *(x[order] for x in cols))
+    for k in range(parts):
+        some = rows.where(part_of(ctx, F.col("number"), parts) == k) if parts > 1 else rows
+        table = some.select(key, "c", "total", f("freed"), f("q"), f("q_less")).toArrow()  # at most `limit` rows
+        cols = [table.column(i).to_numpy() for i in range(6)]
+        order = np.argsort(cols[0])
+        yield Model(k, parts, names, discounts, *(x[order] for x in cols))
 
 
 def repeated_words(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, size: int = 8) -> np.ndarray:
@@ -255,13 +275,47 @@ def bands(passed: DataFrame, width: float, least: float, few: int) -> DataFrame:
     return q.where((F.col("n") >= few) | F.col("lang").isNull()).select("lang", (F.col("q1") - room).alias("low"), (F.col("q3") + room).alias("high"))
 
 
-def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 3.0, least: float = 0.0, few: int = 50) -> DataFrame:
+def _more_bits(model):
+    """(__rid, bits) of a further part of the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            by_row = np.array([m.names.get(x, 0) for x in b.column(1).fill_null("").to_pylist()], np.int64)
+            data, off = utf8(b.column(2))
+            bits = [np.zeros(0)]
+            for i, j in pieces(off):
+                g, w = windows(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                bits.append(m.bits(g, w, by_row[i:j]) / np.maximum(np.diff(w), 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(bits))], ["__rid", "bits"])
+
+    return run
+
+
+def scored(rows: DataFrame, model: DataFrame, limit: int = PART) -> DataFrame:
+    """STATS of rows (__rid, doc_id, lang, text, text_hash) by a model (cut), part by part."""
+    sent, stats, bits = rows.sparkSession.sparkContext.broadcast, None, None
+    for part in sorted_arrays(model, limit):
+        held = sent(part)
+        if stats is None:
+            stats = cut(rows.mapInArrow(_score(held), STATS))
+        else:
+            more = cut(rows.select("__rid", "lang", "text").mapInArrow(_more_bits(held), "__rid long, bits double"))
+            bits = more if bits is None else bits.unionByName(more)
+        held.destroy()
+    if bits is None:
+        return stats
+    bits = bits.groupBy("__rid").agg(F.sum("bits").alias("bits"))
+    return cut(stats.join(bits, "__rid").withColumn("entropy", F.col("entropy") + F.col("bits")).select(*stats.columns))
+
+
+def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 3.0, least: float = 0.0, few: int = 50, limit: int = PART) -> DataFrame:
     """One row per document: the base counts, base_failed, the cross-entropy and perplexity a byte, the band, and kept."""
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(sorted_arrays(kneser_ney(cut(count_top(docs, lang, text), 200_000))))
+    model = kneser_ney(cut(count_top(docs, lang, text), 200_000))
     rows = rows_of(docs, None, doc_id=F.col(key).cast("long"), lang=F.col(lang), text=F.col(text), text_hash=F.xxhash64(F.col(text)))
-    stats = cut(rows.mapInArrow(_score(model), STATS)).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    stats = scored(rows, model, limit).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     edge = cut(bands(stats.where("not base_failed"), width, least, few))
     own = edge.where("lang is not null")
     every = edge.where("lang is null").select(F.col("low").alias("all_low"), F.col("high").alias("all_high"))

@@ -275,13 +275,47 @@ def test_quality(awkward):
     assert got == want
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark):
-    df = spark.createDataFrame([("en", "abracadabra abracadabra " * 3)], "lang string, text string")
-    low = perplexity.kneser_ney(perplexity.count_top(df, "lang", "text")).collect()
-    by = collections.defaultdict(float)
-    for r in low:
+def brute_kneser_ney(text, lang_order=5):
+    """p of every gram of the highest order, by dictionaries: modified Kneser-Ney, interpolated, over bytes."""
+    raw = text.encode()
+    orders = {5: collections.Counter(raw[i : i + 5] for i in range(len(raw) - 4))}
+    for k in (4, 3, 2, 1):
+        orders[k] = collections.Counter(g[1:] for g in orders[k + 1])
+    lower = None
+    for k in range(1, 6):
+        n = collections.Counter(orders[k].values())
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        d = [0.0] + [max(0.0, min(i - 0.05, i - (i + 1) * y * n[i + 1] / max(n[i], 1))) for i in (1, 2, 3)]
+        total, freed = collections.Counter(), collections.Counter()
+        for g, c in orders[k].items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += d[min(c, 3)]
+        below = lower
+        lower = {g: (c - d[min(c, 3)] + freed[g[:-1]] * (below[g[1:]] if below else 1 / 256)) / total[g[:-1]] for g, c in orders[k].items()}
+    return lower
+
+
+def test_kneser_ney_against_dictionaries(spark):
+    rng = random.Random(9)
+    text = prose(rng, 400)
+    got = perplexity.kneser_ney(perplexity.count_top(spark.createDataFrame([("en", text)], "lang string, text string"), "lang", "text")).collect()
+    want = brute_kneser_ney(text)
+    assert len(got) == len(want) > 500
+    for r in got:
+        assert r.p == pytest.approx(want[r.gram.to_bytes(5)], rel=1e-9)
+    by = collections.defaultdict(float)  # a context's probabilities, and the mass of what never followed it
+    for r in got:
         by[r.gram >> 8] += r.p
-    assert all(0 < v <= 1.0001 for v in by.values()) and max(by.values()) > 0.5
+    assert all(0 < v <= 1 + 1e-9 for v in by.values())
+
+
+def test_a_model_in_parts_scores_alike(awkward):
+    whole = {(r.doc_id, r.n_words, r.word_chars): r for r in perplexity.quality(awkward, few=5).collect()}
+    parts = perplexity.quality(awkward, few=5, limit=300).collect()
+    assert len(parts) == awkward.count()
+    for r in parts:
+        w = whole[r.doc_id, r.n_words, r.word_chars]
+        assert r.kept == w.kept and (r.entropy is None) == (w.entropy is None) and (r.entropy or 0) == pytest.approx(w.entropy or 0, abs=1e-9)
 
 
 def test_quality_rejects_what_no_other_text_supports(spark):
