@@ -4,17 +4,22 @@ A tolerant parser turns the page into a tree: raw-text elements, void elements,
 items, and stray end tags are handled as browsers do. Subtrees that announce what they are (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, scripts, styles, hidden parts) are cut. For every node that is left,
 its composite density is its characters per tag, scaled by a logarithm that falls with the share of link characters and
-link tags. A node's density sum adds its children's densities. The node of the largest sum is the main text; the least
-density on its path to the body is the threshold that other parts of the page must reach to be added to it. When the
-main node lies in an <article> or <main>, that element is the main text whole.
+link tags. A node's density sum adds its children's densities. The node of the largest sum lies in the main text; the body's
+own density is the threshold along the path between the two: the outermost subtree on it that reaches the threshold is the
+main text, and other parts that reach it are added.
+
+A <header> or <aside> is cut wherever it stands, an article's own included: the text wanted is without headers and sidebars.
 
 Defined cases: null or empty html gives the empty text; a page without tags is one block; a page without <body> takes the
-whole tree; unclosed tags, comments and quotes end with the page; nesting of any depth is handled without recursion;
-repeated rows and null keys are pages of their own.
+whole tree; unclosed tags, comments and quotes end with the page; nesting of any depth is handled without recursion, and the
+open elements of a tag are found without a search, so a page of any length takes time in proportion; of equal density sums the
+first node in the page counts; an empty table gives no rows; repeated rows and null keys are pages of their own; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import math
 import re
@@ -30,6 +35,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes svg math template".split())
+FOREIGN = frozenset(("svg", "math"))
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -43,8 +49,6 @@ SIBLINGS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 SCOPE = frozenset("applet button caption html marquee object table td template th".split())
-#: As in browsers, deeper elements become siblings, which bounds the search for an open element.
-DEPTH = 512
 CUT_TAGS = RAW | frozenset("head nav header footer aside form button select input dialog menu canvas object embed audio video".split())
 CUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
@@ -75,6 +79,8 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.cut, self.events = ["#root"], [-1], [False], []
+        self.open: dict[str, list[int]] = {}  # by tag, the places of open elements in the stack
+        self.blocks: list[int] = []
         stack, at, n = [0], 0, len(page)
         while at < n:
             m = _TAG.search(page, at)
@@ -99,41 +105,50 @@ class Tree:
             if name in BLOCK or name == "br":
                 self.events.append((k, None if name != "br" else " "))
             if name in RAW:
+                if name in FOREIGN and (attrs or "").rstrip().endswith("/"):
+                    continue  # such an element may close itself
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else n
-            elif name not in VOID and len(stack) < DEPTH:
+            elif name not in VOID:
+                self.open.setdefault(name, []).append(len(stack))
+                if name in BLOCK:
+                    self.blocks.append(len(stack))
                 stack.append(k)
 
+    def _last(self, names) -> int:
+        """The place of the innermost open element of these names, or 0."""
+        return max((at[-1] for x in names if (at := self.open.get(x))), default=0)
+
     def _imply(self, stack: list[int], name: str) -> None:
         if name in ENDS_P:
-            self._close(stack, {"p"}, SCOPE)
+            self._close(stack, ("p",), SCOPE)
         if name in SIBLINGS:
             ends, within = SIBLINGS[name]
             self._close(stack, ends, within)
 
-    def _close(self, stack: list[int], names: set[str], within) -> None:
-        low = None
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] in names:
-                low = i
-            elif self.tag[stack[i]] in within:
-                break
-        if low is not None:
-            self._pop(stack, low)
+    def _close(self, stack: list[int], names, within) -> None:
+        """Closes from the outermost open element of `names` that lies inside the innermost one of `within`."""
+        if not any(self.open.get(x) for x in names):
+            return
+        edge = self._last(within)
+        inside = [at[i] for x in names if (at := self.open.get(x)) and (i := bisect.bisect_right(at, edge)) < len(at)]
+        if inside:
+            self._pop(stack, min(inside))
 
     def _pop(self, stack: list[int], low: int) -> None:
-        if any(self.tag[k] in BLOCK for k in stack[low:]):
+        if self.blocks and self.blocks[-1] >= low:
             self.events.append((self.parent[stack[low]], None))
+        for k in stack[low:]:
+            self.open[self.tag[k]].pop()
+        while self.blocks and self.blocks[-1] >= low:
+            self.blocks.pop()
         del stack[low:]
 
     def _end(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[i]]
-            if tag == name:
-                self._pop(stack, i)
-                return
-            if name not in BLOCK and tag in BLOCK or name == "p" and tag in SCOPE:
-                return  # an inline end tag doesn't end a block
+        at = self.open.get(name)
+        if not at or name not in BLOCK and self.blocks and self.blocks[-1] > at[-1] or name == "p" and self._last(SCOPE) > at[-1]:
+            return  # an inline end tag doesn't end a block
+        self._pop(stack, at[-1])
 
 
 def densities(tree: Tree) -> tuple[list[float], list[float]]:
@@ -180,14 +195,13 @@ def main_nodes(tree: Tree) -> list[bool]:
     while k >= 0 and tree.tag[k] != "html":
         path.append(k)
         k = tree.parent[k]
-    threshold = min(density[k] for k in path)
+    frame = ("html", "#root", "body")
+    threshold = density[next((k for k in path if tree.tag[k] == "body"), path[-1])]
     marked = [False] * n
-    whole = [k for k in path if tree.tag[k] in ("article", "main")]
-    marked[whole[-1] if whole else best] = True
-    if not whole:
-        for k in alive:  # other dense parts
-            if density[k] >= threshold and k not in path and tree.tag[k] not in ("html", "#root", "body", "a"):
-                marked[k] = True
+    marked[next((k for k in reversed(path) if tree.tag[k] not in frame and density[k] >= threshold), best)] = True
+    for k in alive:  # other dense parts
+        if density[k] >= threshold and k not in path and tree.tag[k] not in (*frame, "a"):
+            marked[k] = True
     for k in range(1, n):
         marked[k] = (marked[k] or marked[tree.parent[k]]) and not tree.cut[k]
     return marked
