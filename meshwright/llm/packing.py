@@ -47,17 +47,29 @@ def folded(raw: bytes) -> bytes:
 
 
 class WordEncoder:
-    """Ids by the tokenizers library. Words between ASCII white space never share a token in a tokenizer whose
-    pre-tokenizer drops white space and whose normaliser lowers case, so the ids of a word are kept and the library sees
-    each new word once. A word of lower-case Latin letters alone, which the normaliser and the pre-tokenizer's pattern
-    leave as it is, skips both (the constructor asks the tokenizer whether that holds)."""
+    """Ids by the tokenizers library, as its encode(text, add_special_tokens=False) gives them.
+
+    Words between ASCII white space never share a token in a tokenizer whose pre-tokenizer drops white space, so the ids of
+    a word are kept and the library sees each new word once. Letter case, a stop or comma behind a letter, and words of
+    lower-case Latin letters alone, which skip the normaliser and the pre-tokenizer's pattern, are short cuts of the same
+    kind. The constructor asks the tokenizer which of these hold. Special tokens that a text spells out stand for themselves,
+    as in the library: they part the text and have their own ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.parting = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        probe = Tokenizer.from_file(path)
+        pre = lambda x: [p for p, _ in probe.pre_tokenizer.pre_tokenize_str(x)] if probe.pre_tokenizer else [x]
+        plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in probe.get_added_tokens_decoder().values())
+        self.by_word = plain and all(pre(f"ab{x}cd") == ["ab", "cd"] for x in " \t\n\r\x0b\x0c")
+        upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+        self.fold = bool(probe.normalizer) and probe.normalizer.normalize_str(upper) == lower
+        self.ends = all(pre(f"ab{x}") == ["ab", x] for x in ".,")
+        self.tokenizer.encode_special_tokens = True  # words are without special tokens: a folded one isn't one
         self.bare = None
         t = self.tokenizer
         if t.normalizer and t.pre_tokenizer and t.normalizer.normalize_str(_LETTERS) == _LETTERS and len(t.pre_tokenizer.pre_tokenize_str(_LETTERS)) == 1:
@@ -70,13 +82,31 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known: defaultdict[bytes, int] = defaultdict(count().__next__)  # a new word takes the next number
-        self.flat, self.table = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        for x in self.special:
+            self.known[b" " + x.encode()]  # no word begins with a space
+        self.flat, self.table = np.array(list(self.special.values()), np.uint32), np.arange(len(self.special) + 1)
+
+    def _words(self, text: str) -> list[bytes]:
+        split = lambda x: (folded(x.encode()) if self.fold else x.encode()).split()
+        out, at = [], 0
+        for m in self.parting.finditer(text):
+            out += [*split(text[at : m.start()]), b" " + m[0].encode()]
+            at = m.end()
+        return out + split(text[at:]) if at else split(text)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of a tokenizer whose words can't be told apart beforehand."""
+        self.tokenizer.encode_special_tokens = False
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_word:
+            return self._whole(texts)
         if len(self.known) > CACHE:
             self._forget()
         known, base = self.known, len(self.known)
-        parts = [folded(t.encode()).split() for t in texts]
+        parts = [self._words(t) for t in texts]
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         picks = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
         self._learn(base)
@@ -91,7 +121,7 @@ class WordEncoder:
         """The ids of the words that have been numbered from `base` on."""
         known = self.known
         # A stop or comma behind a letter is a token of its own, so the word before it needn't be met twice.
-        ended = [w for w in islice(reversed(known), len(known) - base) if w[-1:] in _ENDS and w[-2:-1].isalpha()]
+        ended = [w for w in islice(reversed(known), len(known) - base) if self.ends and w[-1:] in _ENDS and w[-2:-1].isalpha()]
         halves = {w: (known[w[:-1]], known[w[-1:]]) for w in ended}
         new = list(islice(reversed(known), len(known) - base))[::-1]
         names = [w.decode() for w in new]
