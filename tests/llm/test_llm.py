@@ -189,7 +189,6 @@ def test_packing(awkward):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = collections.Counter()
     for d, x in pairs(awkward):
         ids = [*t.encode(x, add_special_tokens=False).ids, 1]
@@ -209,8 +208,9 @@ def test_packing(awkward):
     assert len(by) <= 1.05 * -(-sum(r.length for r in got) // 256) + 2
     rng = random.Random(0)
     w = packing.WordEncoder(P.path("word_bpe_49k.json"))
+    assert w(["hello <|endoftext|> world"])[0].tolist() == [3306, 49407, 1002]
     for _ in range(2000):
-        x = "".join(rng.choice(" \t\n\r\x0b\x0c\x1c\x85\xa0　́İΣσaAbJé1²漢's-.,\u030c<|endoftext|>") for _ in range(rng.randint(0, 30)))
+        x = "".join(rng.choice(["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]) if rng.random() < 0.02 else rng.choice(" \t\n\r\x0b\x0c\x1c\x85\xa0　́İΣσaAbJé1²漢's-.,\u030c<|endoftext|>") for _ in range(rng.randint(0, 30)))
         assert w([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
@@ -218,7 +218,6 @@ def test_word_encoder_with_many_texts_and_a_full_cache(monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     w = packing.WordEncoder(P.path("word_bpe_49k.json"))
     assert w.bare is not None
     monkeypatch.setattr(packing, "CACHE", 300)  # forgets between the calls
@@ -363,6 +362,29 @@ def test_html():
     html_extraction.extract("<div>" * 50000 + "<a '" * 1000)
 
 
+def test_html_of_any_depth_and_elements_that_close_themselves():
+    deep = "<body>" + "<div>" * 600 + "<nav>menu links</nav><p>real text</p>" + "</div>" * 600
+    assert html_extraction.extract(deep) == "real text"
+    assert html_extraction.extract("<p>before <svg width=1 /> after</p><p>more <svg><path/></svg>text</p>") == "before after\nmore text"
+    html_extraction.extract("<p><table>" + "<span>" * 30000 + "<div>" * 30000 + "</b>" * 30000)
+
+
+def test_density_chooses_without_an_article_element():
+    para = "<p>" + "A sentence of the story that goes on for quite a while, with <a href=x>one link</a> in it. " * 4 + "</p>"
+    junk = "<div>" + "<a href=x>somewhere else</a> " * 30 + "</div>"
+    for tag in ("article", "main", "div", "section"):
+        got = html_extraction.extract(f"<body>{junk}<{tag}><h2>Head</h2>{para * 5}</{tag}>{junk}</body>")
+        assert got.startswith("Head\nA sentence") and got.count("\n") == 5 and "somewhere" not in got
+
+
+def test_pages_with_nulls_repeats_and_clashing_names(spark):
+    rows = [(1, "u", "<p>a  b</p>"), (1, "u", "<p>a  b</p>"), (None, None, None), (2, "u", ""), (3, "", "x" * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2), "__rid": F.lit(3)})
+    got = collections.Counter((r.page_id, r.url, r.text, r.n_chars) for r in html_extraction.extract_pages(df).collect())
+    assert got == {(1, "u", "a b", 3): 2, (None, None, "", 0): 1, (2, "u", "", 0): 1, (3, "", "x" * 300_000, 300_000): 1}
+    assert html_extraction.extract_pages(df.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
