@@ -135,14 +135,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def only_among(rows: DataFrame, column: str, ids: DataFrame, bits: int = 24, without: bool = False) -> DataFrame:
-    """Drops rows whose `column` (long, not null) can't be among `ids` (one long column), before any shuffle; or, with
+    """Drops rows whose `column` (not null) can't be among `ids` (one column), before any shuffle; or, with
     `without`, exactly the rows that this keeps.
 
-    The ids become a bitmap of 2**bits hashes, broadcast as at most 2**(bits - 6) rows whatever their number. A row
+    The ids become a bitmap of 2**bits hashes, broadcast as at most 2**(bits - 15) rows of 4 KB whatever their number. A row
     that slips through by a shared hash must be dropped by the join that follows."""
-    word = F.expr(f"shiftrightunsigned(xxhash64(`{column}`), {70 - bits})")
-    bit = F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 AS int))")
-    bitmap = ids.toDF(column).groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    place = f"(xxhash64(`{column}`) & {(1 << bits) - 1})"
+    word, bit = F.expr(f"shiftright({place}, 15)"), f"cast({place} & 32767 AS int)"
+    bitmap = ids.toDF(column).groupBy(word.alias("__word")).agg(F.bitmap_construct_agg(F.expr(f"cast({bit} AS bigint)")).alias("__bits"))
     joined = rows.join(F.broadcast(bitmap), word == F.col("__word"), "left" if without else "inner")
-    known = F.coalesce(F.col("__bits").bitwiseAND(bit), F.lit(0)) != 0
+    byte = f"cast(conv(hex(substring(__bits, {bit} div 8 + 1, 1)), 16, 10) AS int)"
+    known = F.coalesce(F.expr(f"bit_get({byte}, {bit} % 8) = 1"), F.lit(False))
     return joined.where(~known if without else known).drop("__word", "__bits")

@@ -211,16 +211,19 @@ def near_duplicates(
     texts = rows.select("rid", "text")
     digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
     signed = cut(rows.select("rid", "doc_id", digest.alias("digest"), "text").mapInArrow(_sign(size, registers, bands), "rid long, doc_id long, digest binary, keys array<long>"))
+    release(spark)
     texts_of = cut(signed.select("rid", "digest").groupBy("digest").agg(F.min("rid").alias("cid")))
     banded = only_among(signed.select(F.col("rid").alias("cid"), "keys"), "cid", texts_of.select("cid")).join(texts_of.select("cid"), "cid")
     banded = banded.select("cid", F.explode(F.array_distinct("keys")).alias("bucket"))
     leads = banded.groupBy("bucket").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = cut(banded.join(leads, "bucket").where("cid <> b").select(F.col("cid").alias("a"), "b", "bucket"))
 
+    release(spark)
     star = verified(cut(met.select("a", "b").distinct(), 20_000), texts, size)
     release(spark)
     linked = (F.col("plain") >= threshold) | (F.col("prob") >= threshold)
     labels = components(star.where(linked))
+    release(spark)
 
     # What a bucket still holds apart: first more stars, whose middle differs from bucket to bucket, ...
     members = met.join(star, ["a", "b"]).select("bucket", "a", "plain", "prob")
@@ -256,8 +259,10 @@ def near_duplicates(
         if not more.isEmpty():
             labels = components(more, labels)
 
+    release(spark)
     who = signed.select("rid", "doc_id", "digest").join(texts_of, "digest")
     who = cut(who.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("rid", "doc_id", "cid", F.coalesce("label", "cid").alias("label")))
+    release(spark)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     classes = who.groupBy("label").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("class_size"))
     same = who.groupBy("cid").agg(F.min(rank).alias("first"))
