@@ -6,7 +6,9 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,17 +95,46 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            lo, hi = sorted((find(x), find(y)))
+            root[hi] = lo
+    ids = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], ["id", "label"])
+
+
+def components(links: DataFrame, known: DataFrame | None = None, alone: int = 1 << 20) -> DataFrame:
     """(id, label) of every id in links(a, b): label is the least id of its connected component.
 
-    With `known`, labels of earlier links, the new links join whole components: the rounds run over labels only, and the
-    result has the ids of both. Rounds of least-neighbour labels, each followed by pointer jumping, until nothing changes;
-    every round is cut in the shared folder, and nothing but a count comes to the driver."""
+    With `known`, labels of earlier links, the new links join whole components: only labels are linked, and the result has
+    the ids of both. At most `alone` links are counted first and then joined by one task's union-find. More take rounds of
+    least-neighbour labels, each followed by pointer jumping, until nothing changes; every round is cut in the shared folder,
+    and nothing but a count comes to the driver."""
     rows = 50_000
     if known is not None:
         la, lb = (known.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
         links = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), rows)
+    n = Observation()
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    links = cut(links.observe(n, F.count(F.lit(1)).alias("n")), rows)
+    labels = cut(links.coalesce(1).mapInArrow(_union_find, "id long, label long")) if n.get["n"] <= alone else _rounds(links, rows)
+    if known is None:
+        return labels
+    up = labels.select(F.col("id").alias("label"), F.col("label").alias("higher"))
+    old = known.join(up, "label", "left").select("id", F.coalesce("higher", "label").alias("label"))
+    return cut(old.union(labels.join(known.select("id"), "id", "left_anti")), rows)
+
+
+def _rounds(links: DataFrame, rows: int) -> DataFrame:
+    both = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), rows)
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), rows)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("least"))
@@ -113,12 +144,7 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         told = step.join(jump, "new").select("id", F.least("new", "jumped").alias("label"), (F.col("label") != F.col("new")).alias("moved"))
         labels = cut(told.observe(moved, F.sum(F.col("moved").cast("int")).alias("n")).drop("moved"), rows)
         if not moved.get["n"]:
-            break
-    if known is None:
-        return labels
-    up = labels.select(F.col("id").alias("label"), F.col("label").alias("higher"))
-    old = known.join(up, "label", "left").select("id", F.coalesce("higher", "label").alias("label"))
-    return cut(old.union(labels.join(known.select("id"), "id", "left_anti")), rows)
+            return labels
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

@@ -22,17 +22,18 @@ def _brute(links):
     return {x: find(x) for x in root}
 
 
-def test_components_at_once_and_upon_known_labels(spark):
+@pytest.mark.parametrize("alone", [1 << 20, 0])
+def test_components_at_once_and_upon_known_labels(spark, alone):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)]
     links = [(a, b) for a, b in links if a != b]
     frame = lambda x: spark.createDataFrame(x, "a long, b long")
-    once = {r.id: r.label for r in iterate.components(frame(links)).collect()}
+    once = {r.id: r.label for r in iterate.components(frame(links), alone=alone).collect()}
     assert once == _brute(links)
-    known = iterate.components(frame(links[:100]))
-    assert {r.id: r.label for r in iterate.components(frame(links[100:]), known).collect()} == once
-    assert iterate.components(frame([])).count() == 0
-    assert {r.id: r.label for r in iterate.components(frame([]), known).collect()} == _brute(links[:100])
+    known = iterate.components(frame(links[:100]), alone=alone)
+    assert {r.id: r.label for r in iterate.components(frame(links[100:]), known, alone).collect()} == once
+    assert iterate.components(frame([]), alone=alone).count() == 0
+    assert {r.id: r.label for r in iterate.components(frame([]), known, alone).collect()} == _brute(links[:100])
 
 
 def test_cut_coalesces_by_the_rows_it_saw(spark):
