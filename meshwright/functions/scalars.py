@@ -4,6 +4,8 @@ All stay in the JVM, none fails under ANSI mode: what doesn't fit becomes null."
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -76,12 +78,35 @@ def to_number_loose(c: Column) -> Column:
     return F.when(_bare(c).rlike(LOOSE_NUMBER), _bare(c).try_cast("double"))
 
 
+def _shape(date_format: str) -> str | None:
+    """A pattern that every text of a numeric date format has; None for a format with other letters."""
+    runs = re.findall(r"y+|M+|d+|[^A-Za-z']", date_format)
+    if "".join(runs) != date_format or "MMM" in date_format:
+        return None
+    digits = {"y": lambda n: r"[+-]?\d{1,}" if n != 2 else r"\d{2}", "M": lambda n: r"\d{1,2}", "d": lambda n: r"\d{1,2}"}
+    return "^" + "".join(digits[r[0]](len(r)) if r[0] in digits else re.escape(r) for r in runs) + "$"
+
+
 def to_date_text(c: Column, formats: list[str] | None = None) -> Column:
-    """ISO text of the first format that parses."""
-    tries = [F.try_to_date(strip(c), f) for f in formats or DATE_FORMATS]
+    """ISO text of the first format that parses. A text that can't have a format's shape isn't parsed: a failed parse costs
+    an exception."""
+    text = strip(c)
+    parse = lambda f: F.try_to_date(text, f) if _shape(f) is None else F.when(text.rlike(_shape(f)), F.try_to_date(text, f))
+    tries = [parse(f) for f in formats or DATE_FORMATS]
     return F.date_format(F.coalesce(*tries), "yyyy-MM-dd")
 
 
+def to_date_digits(c: Column) -> Column:
+    """Year-month-day, or month/day/year, at the text's start: as yyyy-MM-dd with padded parts, whatever the calendar says."""
+    text = strip(c)
+    part = lambda p, k, n: F.lpad(F.regexp_replace(F.regexp_extract(text, p, k), r"^0+(?=\d)", ""), n, "0")
+    year = lambda p, k: F.regexp_replace(F.regexp_extract(text, p, k), r"^0+(?=\d)", "")
+    iso, us = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+    return F.when(text.rlike(iso), F.concat_ws("-", year(iso, 1), part(iso, 2, 2), part(iso, 3, 2))).when(
+        text.rlike(us), F.concat_ws("-", year(us, 3), part(us, 1, 2), part(us, 2, 2))
+    )
+
+
 def to_bool(c: Column, trim: bool = True) -> Column:
     low = F.lower(strip(c) if trim else text_of(c))
     return F.when(low.isin(TRUE_WORDS), F.lit(True)).when(low.isin(FALSE_WORDS), F.lit(False))

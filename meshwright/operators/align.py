@@ -143,3 +143,19 @@ def union_distinct(frames: list[DataFrame], columns: list[str]) -> DataFrame:
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns in canonical order; absent ones as null text."""
     return df.select(*((s.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)) for c in columns))
+
+
+def name_score(header: str, wanted: str, domain: str | None = None) -> int:
+    """How well a header fits by names alone. Fixed weights: equal 50; the domain as a part 20; domain and feature both in it
+    30; domain then feature 40; feature then domain 25; prefix 5; contained 2; ten less its length for a short one."""
+    h, w, d = (re.sub(r"[^a-z0-9]+", "_", (x or "").lower()).strip("_") for x in (header, wanted, domain))
+    parts = lambda x, y: bool(re.search(rf"(?:^|_){re.escape(x)}_*{re.escape(y)}(?:_|$)", h))
+    score = 50 * (h == w) + 5 * h.startswith(w) + 2 * (w in h) + max(0, 10 - len(h))
+    if d:
+        score += 20 * parts(d, "") + 30 * (d in h and w in h) + 40 * parts(d, w) + 25 * parts(w, d)
+    return score
+
+
+def best_names(headers: list[str], wanted: list[str], domain: str | None = None) -> dict[str, str | None]:
+    """For each wanted name the header of the highest score; of equal ones the first."""
+    return {w: max(headers, key=lambda h: name_score(h, w, domain), default=None) for w in wanted}

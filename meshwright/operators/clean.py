@@ -14,41 +14,42 @@ from meshwright.functions import profile as p
 from meshwright.functions import scalars as s
 
 DATE_WORDS = ("date", "time", "year", "month", "day", "created", "updated")
-Rule = Callable[[Column], tuple[Column, Column]]  # column -> (new value, reason)
 
 
-def numeric_rule(parse: Callable[[Column], Column] = s.to_number) -> Rule:
-    def rule(c: Column) -> tuple[Column, Column]:
-        new = parse(c)
-        return new, F.when(new.isNull(), F.lit("Type fix: invalid numeric value")).otherwise(F.lit("Type fix: converted to numeric"))
+@dataclass(frozen=True)
+class Rule:
+    """A new value for a column, and the reason for a change as an expression of the old and the new value."""
+
+    new: Callable[[Column], Column]
+    reason: Callable[[Column, Column], Column]
+
 
-    return rule
+def _fixed(what: str, done: str) -> Callable[[Column, Column], Column]:
+    return lambda old, new: F.when(new.isNull(), F.lit(f"Type fix: invalid {what} value")).otherwise(F.lit(done))
+
+
+def numeric_rule(parse: Callable[[Column], Column] = s.to_number) -> Rule:
+    return Rule(parse, _fixed("numeric", "Type fix: converted to numeric"))
 
 
 def date_rule(formats: list[str] | None = None) -> Rule:
-    def rule(c: Column) -> tuple[Column, Column]:
-        new = s.to_date_text(c, formats)
-        return new, F.when(new.isNull(), F.lit("Type fix: invalid date value")).otherwise(F.lit("Format fix: standardized date"))
+    return Rule(lambda c: s.to_date_text(c, formats), _fixed("date", "Format fix: standardized date"))
 
-    return rule
 
+def date_digits_rule() -> Rule:
+    """Pads numeric dates; a value of no such shape stays."""
+    return Rule(lambda c: F.coalesce(s.to_date_digits(c), s.text_of(c)), lambda old, new: F.lit("Format standardization: date"))
 
-def bool_rule(trim: bool = True) -> Rule:
-    def rule(c: Column) -> tuple[Column, Column]:
-        new = s.to_bool(c, trim)
-        return new, F.when(new.isNull(), F.lit("Type fix: invalid boolean value")).otherwise(F.lit("Type fix: converted to boolean"))
 
-    return rule
+def bool_rule(trim: bool = True) -> Rule:
+    return Rule(lambda c: s.to_bool(c, trim), _fixed("boolean", "Type fix: converted to boolean"))
 
 
 def text_rule(lower: bool) -> Rule:
-    def rule(c: Column) -> tuple[Column, Column]:
-        trimmed = s.strip(c)
-        if not lower:
-            return trimmed, F.lit("Format fix: removed whitespace")
-        return F.lower(trimmed), F.when(trimmed != F.lower(trimmed), F.lit("Format fix: standardized case")).otherwise(F.lit("Format fix: removed whitespace"))
-
-    return rule
+    if not lower:
+        return Rule(s.strip, lambda old, new: F.lit("Format fix: removed whitespace"))
+    case = lambda old, new: F.when(s.strip(old) != new, F.lit("Format fix: standardized case")).otherwise(F.lit("Format fix: removed whitespace"))
+    return Rule(lambda c: F.lower(s.strip(c)), case)
 
 
 def is_numeric_column(c: p.ColumnProfile) -> bool:
@@ -102,11 +103,20 @@ def fast_rules(seen: dict[str, p.ColumnProfile]) -> dict[str, Rule]:
 
 
 def outlier_rule(low: float, high: float) -> Rule:
-    def rule(c: Column) -> tuple[Column, Column]:
+    def new(c: Column) -> Column:
         v = c.try_cast("double")
-        return F.when((v < low) | (v > high), F.lit(None)).otherwise(c), F.lit("Outlier fix: removed outlier")
+        return F.when((v < low) | (v > high), F.lit(None)).otherwise(c)
 
-    return rule
+    return Rule(new, lambda old, new: F.lit("Outlier fix: removed outlier"))
+
+
+def updatable_columns(df: DataFrame, keys: list[str]) -> list[str]:
+    """The columns other than keys with a null or an empty text, by one aggregation."""
+    names = [c for c in df.columns if c not in keys]
+    if not names:
+        return []
+    row = df.agg(*(F.coalesce(F.max(s.text_of(s.col(c)).isNull() | (s.text_of(s.col(c)) == "")), F.lit(False)).alias(f"m{k}") for k, c in enumerate(names))).first()
+    return [c for c, some in zip(names, row, strict=True) if some]
 
 
 @dataclass
@@ -123,23 +133,25 @@ class CleaningReport:
 
 def apply_rules(df: DataFrame, rules: dict[str, Rule], keys: list[str]) -> DataFrame:
     """All rules in one projection."""
-    return df.select(*(rules[c](s.col(c))[0].alias(c) if c in rules and c not in keys else s.col(c) for c in df.columns))
+    return df.select(*(rules[c].new(s.col(c)).alias(c) if c in rules and c not in keys else s.col(c) for c in df.columns))
 
 
 def changes_of(df: DataFrame, rules: dict[str, Rule], keys: list[str], row: str | None = None) -> DataFrame:
-    """(row_index?, keys, column, before, after, reason): one row a changed cell. Only changed cells are unpivoted."""
+    """(row_index?, keys, column, before, after, reason): one row a changed cell. Every new value is computed once, in a
+    projection of its own; only changed cells are unpivoted."""
+    used = {c: rule for c, rule in rules.items() if c not in keys and c in df.columns}
+    lead = [s.col(row).alias("row_index")] if row else []
+    told = df.select(*lead, *(s.col(k) for k in keys), *(s.col(c).alias(f"__old{i}") for i, c in enumerate(used)), *(rule.new(s.col(c)).alias(f"__new{i}") for i, (c, rule) in enumerate(used.items())))
     cells = []
-    for c, rule in rules.items():
-        if c in keys or c not in df.columns:
-            continue
-        new, reason = rule(s.col(c))
-        before, after = s.text_of(s.col(c)), s.text_of(new)
-        entry = F.struct(F.lit(c).alias("column"), before.alias("before"), after.alias("after"), reason.alias("reason"))
+    for i, (c, rule) in enumerate(used.items()):
+        old, new = F.col(f"__old{i}"), F.col(f"__new{i}")
+        before, after = s.text_of(old), s.text_of(new)
+        entry = F.struct(F.lit(c).alias("column"), before.alias("before"), after.alias("after"), rule.reason(old, new).alias("reason"))
         cells.append(F.when(~before.eqNullSafe(after), entry))
-    head = [s.col(row).alias("row_index")] if row else []
     schema = "array<struct<column:string,before:string,after:string,reason:string>>"
     packed = F.array_compact(F.array(*cells)) if cells else F.array().cast(schema)
-    return df.select(*head, *(s.col(k) for k in keys), packed.alias("__c")).where(F.size("__c") > 0).select(*(["row_index"] if row else []), *(s.col(k) for k in keys), F.inline("__c"))
+    head = [*(["row_index"] if row else []), *(s.col(k) for k in keys)]
+    return told.select(*head, packed.alias("__c")).where(F.size("__c") > 0).select(*head, F.inline("__c"))
 
 
 def report_frame(changes: DataFrame, row: list[str]) -> DataFrame:
@@ -273,3 +285,22 @@ def clean_data(
                 )
                 changes = changes.unionByName(told)
     return out, changes, report_of(changes, ["row_index"] if row else keys)
+
+
+Cleaner = Callable[[DataFrame], tuple[DataFrame, DataFrame, CleaningReport]]
+
+
+def clean_in_turn(df: DataFrame, cleaners: dict[str, Cleaner], row: list[str]) -> tuple[DataFrame, DataFrame | None, CleaningReport]:
+    """Composite: each cleaner works on what the one before left, and their change logs are joined. A cleaner that fails is
+    left out and named in the report's errors."""
+    changes, errors = None, []
+    for name, run in cleaners.items():
+        try:
+            df, told, _ = run(df)
+        except Exception as e:  # the others go on
+            errors.append(f"{name}: {type(e).__name__}: {e}")
+            continue
+        changes = told if changes is None else changes.unionByName(told)
+    report = report_of(changes, row) if changes is not None else CleaningReport()
+    report.errors = errors
+    return df, changes, report

@@ -14,7 +14,6 @@ from meshwright.functions import scalars as s
 from meshwright.functions.iterate import cut
 from meshwright.operators.align import union_unified
 
-LONG_CHAIN = 10
 
 
 @dataclass(frozen=True)
@@ -93,7 +92,7 @@ def safe_inner_chain(frames: list[DataFrame], policy: MergePolicy, orders: list[
             out = keep_first(out, keys, [s.col(c) for c in out.columns])
         out = merge_pair(out, keep_first(f, keys, orders[i]), keys, "inner")
         log.append({"frame": i, "keys": keys, "joined": True})
-        if len(log) % LONG_CHAIN == 0:
+        if any(k != base for k in range(i + 1, len(frames))):  # the next frame's guard and join start from here
             out = cut(out)
     return out, log
 
@@ -122,7 +121,7 @@ def universal_merge(frames: list[DataFrame], policy: MergePolicy, orders: list[l
             order = None
             out = merge_pair(out, keep_first(frames[i], keys, orders[i]), keys, "full")
             joined.append(i)
-            if len(joined) % LONG_CHAIN == 0:
+            if i != keyed[-1]:
                 out = cut(out)
     parts = ([out] if out is not None else []) + [frames[i] for i in sorted(appended)]
     result = parts[0] if len(parts) == 1 else union_unified(parts)

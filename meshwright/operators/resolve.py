@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meshwright.functions import profile as p
 from meshwright.functions import scalars as s
 from meshwright.functions.iterate import components, cut, global_rank
 
@@ -75,3 +76,24 @@ def resolve_entities(
     pairs = advisor.same_entity(pairs, threshold) if advisor is not None else pairs.where(F.col("similarity") >= threshold)
     told = cut(clusters(df, cut(pairs), rid))
     return merge_clusters(told, rid, keep), report(told)
+
+
+ENTITY_ENDINGS = ("_title", "_name", "title", "name")  # fixed order
+
+
+def entity_field(df: DataFrame) -> Column:
+    """For each row the name of its entity field: the first column, by ending and then by place, whose text isn't blank; else
+    the first text column that isn't; else null."""
+    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    told = [c for e in ENTITY_ENDINGS for c in text if c.lower().endswith(e)] + text
+    picks = [F.when(F.trim(s.col(c)) != "", F.lit(c)) for c in dict.fromkeys(told)]
+    return F.coalesce(*picks) if picks else F.lit(None).cast("string")
+
+
+def key_columns(seen: dict[str, p.ColumnProfile], most: int = 20) -> list[str]:
+    """Columns that tell entities apart: text that is seldom null and mostly distinct, names and ids first; else the first
+    text column. Only `most` columns are looked at, in their order."""
+    some = list(seen.values())[:most]
+    good = [c for c in some if c.is_text and c.null_rate < 0.5 and c.present_distinct > 0.5 * c.rows * (1 - c.null_rate)]
+    good.sort(key=lambda c: not c.name.lower().endswith((*ENTITY_ENDINGS, "id", "code", "key")))
+    return [c.name for c in good] or [c.name for c in some if c.is_text][:1]

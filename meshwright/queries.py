@@ -15,6 +15,22 @@ from meshwright.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+# By the fixed weights of the header score, over the columns of customer.
+HEADER_SCORES = """('id', 'c_custkey', 22.0::DOUBLE),
+  ('id', 'c_name', 2.6::DOUBLE),
+  ('id', 'c_nationkey', 5.0::DOUBLE),
+  ('id', 'c_acctbal', 11.0::DOUBLE),
+  ('id', 'c_mktsegment', 0.0::DOUBLE),
+  ('name', 'c_custkey', 22.0::DOUBLE),
+  ('name', 'c_name', 10.6::DOUBLE),
+  ('name', 'c_nationkey', 5.0::DOUBLE),
+  ('name', 'c_acctbal', 11.0::DOUBLE),
+  ('name', 'c_mktsegment', 0.0::DOUBLE),
+  ('balance', 'c_custkey', 22.0::DOUBLE),
+  ('balance', 'c_name', 2.6::DOUBLE),
+  ('balance', 'c_nationkey', 5.0::DOUBLE),
+  ('balance', 'c_acctbal', 11.0::DOUBLE),
+  ('balance', 'c_mktsegment', 0.0::DOUBLE)"""
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 # Deterministic dirty views: one text for both engines.
@@ -106,10 +122,10 @@ def multiway_safe_chain(spark, sf_dir):
     o = view(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"))
     c = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("cust_name"), F.col("c_nationkey").alias("nationkey"))
     n = view(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("nation_name"))
-    one = merge.keep_first(o, ["custkey"], [F.col("orderkey")])
-    both = merge.merge_pair(one, merge.keep_first(c, ["custkey"], [F.col("cust_name")]), ["custkey"], "inner")
-    each = merge.keep_first(both, ["nationkey"], [F.col("custkey")])
-    return merge.merge_pair(each, merge.keep_first(n, ["nationkey"], [F.col("nation_name")]), ["nationkey"], "inner").select("custkey", "orderkey", "cust_name", "nationkey", "nation_name")
+    policy = merge.MergePolicy(["custkey", "nationkey"], strong_keys=["custkey", "nationkey"], min_keys=1, max_blowup=1e6)
+    out, log = merge.safe_inner_chain([o, n, c], policy, [[F.col("orderkey")], [F.col("nation_name")], [F.col("cust_name")]])
+    assert [x["joined"] for x in log] == [True, True]
+    return out.select("custkey", "orderkey", "cust_name", "nationkey", "nation_name")
 
 
 @query("""SELECT CAST(entity_id AS DOUBLE) AS entity_id, entity_name, round(balance, 4) AS balance, segment, NULL AS r_name FROM {cust_left} v
@@ -219,11 +235,9 @@ def type_clean_numeric(spark, sf_dir):
     return clean.apply_rules(view(spark, sf_dir, "dirty_customer"), _rules()[0], ["c_custkey"]).select("c_custkey", "bal_raw")
 
 
-@query(f"SELECT c_custkey, 'bal_raw' AS \"column\", bal_raw AS before, CASE WHEN {NUM} IS NULL THEN 'Type fix: invalid numeric value' ELSE 'Type fix: converted to numeric' END AS reason FROM {{dirty_customer}} v WHERE bal_raw IS NOT NULL AND ({NUM} IS NULL OR ltrim(bal_raw, ' $') <> bal_raw)")
+@query(f"SELECT c_custkey, 'bal_raw' AS \"column\", bal_raw AS before, ({NUM})::VARCHAR AS after, CASE WHEN {NUM} IS NULL THEN 'Type fix: invalid numeric value' ELSE 'Type fix: converted to numeric' END AS reason FROM {{dirty_customer}} v WHERE bal_raw IS DISTINCT FROM ({NUM})::VARCHAR")
 def type_clean_numeric_changes(spark, sf_dir):
-    d = view(spark, sf_dir, "dirty_customer")
-    log = clean.changes_of(d, _rules()[0], ["c_custkey"]).select("c_custkey", "column", "before", "reason")
-    return log.where((F.ltrim(F.regexp_replace("before", r"^\$", " ")) != F.col("before")) | F.col("reason").contains("invalid"))
+    return clean.changes_of(view(spark, sf_dir, "dirty_customer"), _rules()[0], ["c_custkey"])
 
 
 @query(f"SELECT o_orderkey, {DATE} AS date_raw FROM {{dirty_orders}} v")
@@ -450,7 +464,11 @@ def quality_overall_score(spark, sf_dir):
     return spark.createDataFrame([(r.completeness, round(r.consistency, 6), score)], "completeness double, consistency double, overall double")
 
 
-@query()
+def _values(rows: str, names: str) -> str:
+    return f"SELECT * FROM (VALUES {rows}) AS t({names})"
+
+
+@query(_values(HEADER_SCORES, "wanted, header, score"))
 def semantic_header_scores(spark, sf_dir):
     c = view(spark, sf_dir, "customer")
     seen = p.profile(c)
@@ -458,7 +476,7 @@ def semantic_header_scores(spark, sf_dir):
     return spark.createDataFrame(rows, "wanted string, header string, score double")
 
 
-@query()
+@query(_values("('date,entity_id', true), ('entity_id', false), ('date,name', false)", "keys, strong"))
 def strong_key_guard(spark, sf_dir):
     policy = merge.MergePolicy(["entity_id", "entity_name", "date"], strong_keys=["entity_id", "entity_name"])
     cases = [["date", "entity_id"], ["entity_id"], ["date", "name"]]
@@ -468,3 +486,46 @@ def strong_key_guard(spark, sf_dir):
 @query()
 def similar_value_clusters(spark, sf_dir):
     return clean.similar_values(p.value_frequency(view(spark, sf_dir, "dirty_customer"), "segment_raw"))
+
+
+@query("SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1000")
+def row_cap(spark, sf_dir):
+    return files.row_cap(view(spark, sf_dir, "lineitem"), 1000, ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT c_custkey, CASE WHEN trim(segment_raw) <> '' THEN 'segment_name' WHEN trim(bal_raw) <> '' THEN 'bal_raw' END AS field FROM
+(SELECT c_custkey, bal_raw, CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE segment_raw END AS segment_raw FROM {dirty_customer} v) w""")
+def er_entity_field(spark, sf_dir):
+    d = view(spark, sf_dir, "dirty_customer").select("c_custkey", "bal_raw", F.when(F.col("c_custkey") % 4 == 0, F.lit(" ")).otherwise(F.col("segment_raw")).alias("segment_name"))
+    return d.select("c_custkey", resolve.entity_field(d).alias("field"))
+
+
+@query(r"""SELECT o_orderkey, CASE WHEN regexp_matches(d, '^\d{4}-\d{1,2}-\d{1,2}') THEN regexp_extract(d, '^(\d{4})-', 1)::INT || '-' || lpad(regexp_extract(d, '^\d{4}-(\d{1,2})-', 1), 2, '0') || '-' || lpad(regexp_extract(d, '^\d{4}-\d{1,2}-(\d{1,2})', 1), 2, '0')
+ WHEN regexp_matches(d, '^\d{1,2}/\d{1,2}/\d{4}') THEN regexp_extract(d, '^\d{1,2}/\d{1,2}/(\d{4})', 1)::INT || '-' || lpad(regexp_extract(d, '^(\d{1,2})/', 1), 2, '0') || '-' || lpad(regexp_extract(d, '^\d{1,2}/(\d{1,2})/', 1), 2, '0')
+ ELSE d END AS date_raw FROM (SELECT o_orderkey, trim(date_raw) AS d FROM {dirty_orders} v) w""")
+def date_digits(spark, sf_dir):
+    return clean.apply_rules(view(spark, sf_dir, "dirty_orders").select("o_orderkey", F.trim("date_raw").alias("date_raw")), {"date_raw": clean.date_digits_rule()}, ["o_orderkey"])
+
+
+@query("SELECT c.column_name FROM (SELECT max((bal_raw IS NULL OR bal_raw = '')::INT) AS b, max((segment_raw IS NULL OR segment_raw = '')::INT) AS s, max((c_nationkey IS NULL)::INT) AS n FROM {dirty_customer} v) t, (VALUES ('bal_raw'), ('segment_raw'), ('c_nationkey')) AS c(column_name) WHERE CASE c.column_name WHEN 'bal_raw' THEN b WHEN 'segment_raw' THEN s ELSE n END = 1")
+def updatable_columns(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in clean.updatable_columns(view(spark, sf_dir, "dirty_customer"), ["c_custkey"])], "column_name string")
+
+
+@query(_values("('id', 'wine_id'), ('name', 'wine_name'), ('ph', 'ph')", "wanted, header"))
+def best_names_by_header(spark, sf_dir):
+    got = align.best_names(["wine_id", "id", "ph", "wine_name", "name_of_region"], ["id", "name", "ph"], "wine")
+    return spark.createDataFrame(list(got.items()), "wanted string, header string")
+
+
+@query(f"SELECT c_custkey, ({NUM})::VARCHAR AS bal_raw, trim(segment_raw) AS segment_raw FROM {{dirty_customer}} v")
+def cleaned_in_turn(spark, sf_dir):
+    """Two cleaners and one that fails, which the report names."""
+    d = view(spark, sf_dir, "dirty_customer").select("c_custkey", "bal_raw", "segment_raw")
+
+    def by(rules):
+        return lambda df: (clean.apply_rules(df, rules, ["c_custkey"]), clean.changes_of(df, rules, ["c_custkey"]), clean.CleaningReport())
+
+    out, _, report = clean.clean_in_turn(d, {"numbers": by(_rules()[0]), "broken": lambda df: df.nothing(), "text": by({"segment_raw": clean.text_rule(False)})}, ["c_custkey"])
+    assert len(report.errors) == 1 and report.errors[0].startswith("broken: ") and report.cleaned_columns == ["bal_raw", "segment_raw"]
+    return out.withColumn("bal_raw", F.col("bal_raw").cast("string"))

@@ -147,3 +147,8 @@ def write_csv(df: DataFrame, path: str, null: str = "None") -> None:
 
 def write_meta(meta: dict, path: str) -> None:
     Path(path).write_text(json.dumps(meta, indent=1, ensure_ascii=False, default=str))
+
+
+def row_cap(df: DataFrame, rows: int | None, order: list[str]) -> DataFrame:
+    """The first rows in an order, as a top-k (each task keeps `rows` of its own); all of them where `rows` is None."""
+    return df if rows is None else df.orderBy(*order).limit(rows)
