@@ -116,7 +116,7 @@ def _fine(size: int, registers: int):
         for b in batches:
             data, off = utf8(b.column(1))
             got, unit = [np.zeros((0, registers // 32), np.int64)], []
-            for i, j in pieces(off, 1 << 17):
+            for i, j in ((k, min(k + 128, e)) for a, e in pieces(off, 1 << 17) for k in range(a, e, 128)):  # 2 MB a signature
                 row, h, weight = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
                 got.append(planes(prob_min_hash(row, h, weight, j - i, registers)))
                 own: list[np.ndarray | None] = [None] * (j - i)
@@ -136,7 +136,7 @@ def _sign(size: int, registers: int, bands: int):
         for b in batches:
             data, off = utf8(b.column(3))
             keys, n = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-            for i, j in pieces(off):
+            for i, j in pieces(off, 1 << 18):
                 row, h, weight = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
                 again, sig = unit_min_hash(row, h, weight, registers)
                 both, has = np.zeros((j - i, 2, bands), U64), np.zeros((j - i, 2), bool)
@@ -166,7 +166,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return plain, float((1 / (1 + upper / x + lower / y)).sum())
 
 
-def _verify(size: int, limit: int = 1 << 20):
+def _verify(size: int, limit: int = 1 << 18):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [utf8(batch.column(c)) for c in (2, 3)]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from meshwright.llm._text import cut, gather, small_batches
 
-CACHE = 1 << 20
+CACHE = 1 << 18  # words; about 50 MB in a worker
 GROUP = 1 << 15
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, final boolean"
 _TYPES = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
