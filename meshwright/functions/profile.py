@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from meshwright.functions import scalars as s
 
 PUNCTUATION = "[^0-9A-Za-z\\u4e00-\\u9fa5 ]"
+#: Shares of distinct values that column decisions compare with, and how near to one a sketch is counted over: five
+#: standard errors. Up to FEW values are always counted.
+SHARES, MARGIN, ERROR, FEW = (0.01, 0.02, 0.2, 0.3, 0.5, 0.8, 0.95), 0.05, 0.01, 64
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,7 @@ class ColumnProfile:
 def _measures(name: str, approximate: bool) -> list:
     c = s.col(name)
     t = s.text_of(c)
-    distinct = (lambda x: F.approx_count_distinct(x, 0.01)) if approximate else F.count_distinct
+    distinct = (lambda x: F.approx_count_distinct(x, ERROR)) if approximate else F.count_distinct
     flag = lambda x: F.coalesce(F.sum(F.coalesce(x, F.lit(False)).cast("int")), F.lit(0))
     return [
         flag(c.isNull()), distinct(t) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0)),
@@ -60,14 +63,36 @@ def _measures(name: str, approximate: bool) -> list:
     ]
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> dict[str, ColumnProfile]:
-    """One job for all columns. Exact distinct counts expand the rows once a column; `approximate` sketches instead."""
+def _at_issue(distinct: int, of: int) -> bool:
+    return any(abs(distinct - share * of) <= MARGIN * share * of for share in SHARES)
+
+
+def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool | None = None) -> dict[str, ColumnProfile]:
+    """One job for all columns, with sketches of distinct values. Unless `approximate`, a second one counts exactly where a
+    decision could turn on it: columns of few values by their set, which the sketch bounds, and columns near a share by a
+    distinct count. approximate=False counts all exactly, which expands the rows twice a column."""
     names = columns if columns is not None else df.columns
     if not names:
         return {}
-    packed = [F.struct(*(m.alias(f"m{i}") for i, m in enumerate(_measures(n, approximate)))).alias(f"p{k}") for k, n in enumerate(names)]
+    packed = [F.struct(*(m.alias(f"m{i}") for i, m in enumerate(_measures(n, approximate is not False)))).alias(f"p{k}") for k, n in enumerate(names)]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *packed).first()
-    return {n: ColumnProfile(n, df.schema[n].dataType, row["rows"], *row[f"p{k}"]) for k, n in enumerate(names)}
+    seen = {n: ColumnProfile(n, df.schema[n].dataType, row["rows"], *row[f"p{k}"]) for k, n in enumerate(names)}
+    if approximate is False:
+        return seen
+    seen = {n: replace(c, distinct=min(c.distinct, c.rows), present_distinct=min(c.present_distinct, c.rows - c.nulls)) for n, c in seen.items()}
+    return seen if approximate else _counted(df, seen)
+
+
+def _counted(df: DataFrame, seen: dict[str, ColumnProfile]) -> dict[str, ColumnProfile]:
+    few = [n for n, c in seen.items() if c.present_distinct <= FEW]
+    near = [n for n, c in seen.items() if c.present_distinct > FEW and (_at_issue(c.distinct, c.rows) or _at_issue(c.present_distinct, c.rows - c.nulls))]
+    size = lambda x: F.size(F.collect_set(x))
+    counts = [*(size(s.text_of(s.col(n))) for n in few), *(size(F.lower(s.text_of(s.col(n)))) for n in few), *(F.count_distinct(s.text_of(s.col(n))) for n in near)]
+    if not counts:
+        return seen
+    got = list(df.agg(*(c.alias(f"n{i}") for i, c in enumerate(counts))).first())
+    told = {n: (k, low) for n, k, low in zip(few, got, got[len(few) :], strict=False)} | {n: (k, seen[n].lowered) for n, k in zip(near, got[2 * len(few) :], strict=True)}
+    return {n: replace(c, distinct=told[n][0] + (c.nulls > 0), present_distinct=told[n][0], lowered=told[n][1]) if n in told else c for n, c in seen.items()}
 
 
 def column_quality(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from meshwright.functions import profile as p
 from meshwright.functions import scalars as s
+from meshwright.functions.iterate import cut
 
 DATE_WORDS = ("date", "time", "year", "month", "day", "created", "updated")
 
@@ -217,7 +218,7 @@ def similar_values(values: DataFrame, least: float = 0.9) -> DataFrame:
 
     No pair is lost: a text within k edits of one of length L holds one of its k + 1 segments unchanged, moved by at most
     k places. So values are joined by (length, L, segment number, segment) before they are compared."""
-    from meshwright.functions.iterate import components, cut
+    from meshwright.functions.iterate import components
 
     v = cut(values.select("value", "n").withColumn("id", F.monotonically_increasing_id()))
     keyed = v.select("id", "value", F.lower("value").alias("low")).where("low is not null").withColumn("size", F.length("low"))
@@ -253,10 +254,13 @@ def _outlier_rules(df: DataFrame, seen: dict[str, p.ColumnProfile], keys: list[s
 
 
 def clean_data(
-    df: DataFrame, keys: list[str], mode: str = "fast", advisor=None, rules: dict | None = None, row: str | None = None, approximate: bool = False
+    df: DataFrame, keys: list[str], mode: str = "fast", advisor=None, rules: dict | None = None, row: str | None = None, approximate: bool | None = None
 ) -> tuple[DataFrame, DataFrame, CleaningReport]:
     """(cleaned, changes, report). Modes: fast; type or minimal; hybrid, batch, llm, comprehensive and ultra (also hyper,
-    turbo), which ask an advisor; without one ultra and hybrid act as fast, the others as type."""
+    turbo), which ask an advisor; without one ultra and hybrid act as fast, the others as type.
+
+    A dictionary of the ultra modes holds the most frequent values, as many as `dictionary_budget` says; rules={"budget":
+    False} takes all values."""
     known = {"ultra", "hyper", "turbo", "fast", "hybrid", "batch", "comprehensive", "llm", "type", "minimal"}
     if mode not in known:
         raise ValueError(f"unknown cleaning mode: {mode}")
@@ -267,7 +271,7 @@ def clean_data(
     if advisor is not None and mode in ("hybrid", "batch", "llm", "comprehensive"):
         for n in complex_columns(seen, keys, set(chosen)):
             if (plan := advisor.cleaning_plan(seen[n])) == "outliers":
-                chosen |= _outlier_rules(df, {n: seen[n]}, keys, approximate)
+                chosen |= _outlier_rules(df, {n: seen[n]}, keys, bool(approximate))
             elif plan == "numeric":
                 chosen[n] = numeric_rule()
             elif plan == "date":
@@ -277,9 +281,8 @@ def clean_data(
         for n in suspicious_columns(seen, keys):
             if n not in chosen or out.schema[n].dataType == T.StringType():
                 budget = p.dictionary_budget(seen[n].distinct) if (rules or {}).get("budget", True) else None
-                before = out
-                out = apply_dictionary(out, n, advisor.value_dictionary(out, n, budget))
-                m = advisor.value_dictionary(before, n, budget)
+                m = cut(advisor.value_dictionary(out, n, budget))  # both the values and their log read it
+                before, out = out, apply_dictionary(out, n, m)
                 told = before.join(m, s.text_of(s.col(n)) == F.col("raw")).select(
                     *([s.col(row).alias("row_index")] if row else []), *(s.col(k) for k in keys), F.lit(n).alias("column"), F.col("raw").alias("before"), F.col("cleaned").alias("after"), F.lit("Format fix: value dictionary").alias("reason")
                 )

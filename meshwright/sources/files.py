@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import json
 import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +54,11 @@ def one_per_stem(paths: list[str], priority: list[str]) -> list[str]:
     return list(best.values())
 
 
-def typed(df: DataFrame, nulls: list[str], sample: int = 10_000) -> DataFrame:
-    """A text table with null words gone and columns typed as whole numbers, numbers or booleans by the first rows; a later
-    value that doesn't fit is null."""
+def typed(df: DataFrame, nulls: list[str], sample: int | None = None) -> DataFrame:
+    """A text table with null words gone and columns typed as whole numbers, numbers or booleans where every value fits. A
+    `sample` looks at so many first rows only; a later value that doesn't fit is null then."""
     df = df.select(*(s.known_nulls(s.col(c), nulls).alias(c) for c in df.columns))
-    head = df.limit(sample)
+    head = df if sample is None else df.limit(sample)
     tests = {"bigint": r"^[+-]?\d{1,18}$", "double": s.LOOSE_NUMBER, "boolean": r"^(?i:true|false)$"}
     marks = [F.coalesce(F.min(s.col(c).rlike(t).cast("int")), F.lit(-1)).alias(f"{i}_{k}") for i, c in enumerate(df.columns) for k, t in tests.items()]
     seen = head.agg(*marks).first() if marks else {}
@@ -77,16 +78,24 @@ def tidy_json(text: str) -> str:
     return re.sub(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', lambda m: m[1] or "", bare)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """One document or one record a line; what doesn't parse is dropped. A line file is parsed by Spark in parallel."""
+def read_json(spark: SparkSession, path: str, most: int = 1 << 28) -> DataFrame:
+    """One document or one record a line; what doesn't parse is dropped. Spark parses line files and documents (comments
+    may stand in them). A document with other faults is mended on the driver, up to `most` characters; a longer one is an
+    error."""
     lines = spark.read.text(path).select(F.regexp_replace(F.regexp_replace("value", "^﻿", ""), r",\s*$", "").alias("value"))
-    record = F.col("value").rlike(r"^\s*\{.*\}\s*$")
-    n = lines.where(F.trim("value") != "").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((record & F.get_json_object("value", "$").isNotNull()).cast("int")), F.lit(0)).alias("good")).first()
+    record = F.col("value").rlike(r"^\s*\{.*\}\s*$") & F.get_json_object("value", "$").isNotNull()
+    full = F.trim("value") != ""
+    n = lines.agg(F.count_if(full).alias("n"), F.count_if(full & record).alias("good"), F.coalesce(F.sum(F.length("value") + 1), F.lit(0)).alias("chars")).first()
     if n.n and 2 * n.good >= n.n:
-        return spark.read.option("mode", "DROPMALFORMED").json(lines.where(record).rdd.map(lambda r: r.value))
-    whole = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())  # one document: read whole by nature
+        return spark.read.option("mode", "DROPMALFORMED").json(path)
+    whole = spark.read.options(multiLine=True, allowComments=True, columnNameOfCorruptRecord=(bad := f"__bad_{uuid.uuid4().hex}")).json(path)
+    if whole.columns and bad not in whole.columns:
+        return whole
+    if n.chars > most:
+        raise ValueError(f"{path}: a document of {n.chars} characters that isn't valid JSON")
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())  # at most `most` characters
     try:
-        got = json.loads(tidy_json(whole))
+        got = json.loads(tidy_json(text))
     except ValueError:
         return spark.createDataFrame([], T.StructType([]))
     rows = got if isinstance(got, list) else [got]
