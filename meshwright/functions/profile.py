@@ -12,8 +12,9 @@ from meshwright.functions import scalars as s
 
 PUNCTUATION = "[^0-9A-Za-z\\u4e00-\\u9fa5 ]"
 #: Shares of distinct values that column decisions compare with, and how near to one a sketch is counted over: five
-#: standard errors. Up to FEW values are always counted.
-SHARES, MARGIN, ERROR, FEW = (0.01, 0.02, 0.2, 0.3, 0.5, 0.8, 0.95), 0.05, 0.01, 64
+#: standard errors of a sketch of 2**SKETCH registers. Up to FEW values are always counted. Such a sketch is one binary
+#: value; approx_count_distinct keeps each word of its registers as a column of the aggregation.
+SHARES, MARGIN, SKETCH, FEW = (0.01, 0.02, 0.2, 0.3, 0.5, 0.8, 0.95), 0.05, 14, 64
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class ColumnProfile:
 def _measures(name: str, approximate: bool) -> list:
     c = s.col(name)
     t = s.text_of(c)
-    distinct = (lambda x: F.approx_count_distinct(x, ERROR)) if approximate else F.count_distinct
+    distinct = (lambda x: F.hll_sketch_estimate(F.hll_sketch_agg(x, F.lit(SKETCH)))) if approximate else F.count_distinct
     flag = lambda x: F.coalesce(F.sum(F.coalesce(x, F.lit(False)).cast("int")), F.lit(0))
     return [
         flag(c.isNull()), distinct(t) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0)),
