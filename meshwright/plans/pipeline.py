@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import time
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -129,12 +130,19 @@ def process(spark: SparkSession, cfg: Config, advisor: Advisor | None = None, so
 
 
 def run_batch(spark: SparkSession, questions: list[str], base: Config) -> list[dict]:
-    """One row a question: success, rows, overall score or error."""
+    """One row a question: success, seconds, and rows and overall score, or the error."""
     out = []
     for question in questions:
+        began = time.monotonic()
         try:
             r = process(spark, dataclasses.replace(base, query=question))
-            out.append({"question": question, "success": True, "rows": r.meta["rows"], "overall": r.quality.overall})
+            told = {"success": True, "rows": r.meta["rows"], "overall": r.quality.overall}
         except Exception as e:  # recorded: one question's failure doesn't stop the batch
-            out.append({"question": question, "success": False, "error": str(e)[:500]})
+            told = {"success": False, "error": str(e)[:500]}
+        out.append({"question": question, **told, "seconds": round(time.monotonic() - began, 3)})
     return out
+
+
+def batch_summary(results: list[dict]) -> dict:
+    good = sum(r["success"] for r in results)
+    return {"total": len(results), "success": good, "failed": len(results) - good, "average_seconds": sum(r["seconds"] for r in results) / max(1, len(results))}

@@ -8,6 +8,7 @@ import pytest
 from meshwright.functions import profile as p
 from meshwright.operators import clean
 from meshwright.plans.advisor import HeuristicAdvisor
+from meshwright.plans.pipeline import Config, batch_summary, run_batch
 from meshwright.sources import files
 
 
@@ -77,3 +78,10 @@ def test_a_dictionary_is_computed_once(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(["Red-Wine!", "Red-Wine!", "red-wine!", "Blue--", "green?"])], "k long, t string")
     out, log, _ = clean.clean_data(df, ["k"], "ultra", Counting(), {"budget": False})
     assert Counting.calls == 1 and out.where("t = 'red-wine!'").count() + out.where("t = 'Red-Wine!'").count() == 3 and out.select("t").distinct().count() == 3
+
+
+def test_a_batch_tells_seconds_and_totals(spark, tmp_path):
+    told = run_batch(spark, ["wine database with id"], Config(base=str(tmp_path)))
+    assert [r["success"] for r in told] == [False] and told[0]["seconds"] >= 0
+    assert batch_summary(told) == {"total": 1, "success": 0, "failed": 1, "average_seconds": told[0]["seconds"]}
+    assert batch_summary([]) == {"total": 0, "success": 0, "failed": 0, "average_seconds": 0.0}
