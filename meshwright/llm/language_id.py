@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from meshwright.llm._text import U64, cut, mix64, pieces, row_sums, rows_of, small_batches, utf8
 
 SLOTS = 1 << 13
+HOT = 200  # a host or declared language with over 1 / HOT of all documents is dealt over several tasks
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[48:58] = 48
@@ -161,6 +162,21 @@ def _joined(parts: list[DataFrame]) -> DataFrame:
     return rows.select("__rid", "doc_id", "declared", "host", "suffix", "fit", F.col("x.langs").alias("langs"), F.transform("x", lambda v: v["scores"] - F.col("whole")).alias("scores"))
 
 
+def _looked_up(rows: DataFrame, lines: DataFrame, keys: dict[str, str], heavy: DataFrame, how: str = "inner", parts: int = 16) -> DataFrame:
+    """rows joined with lines where the keys, {a row's column: a line's}, are equal; null equals null.
+
+    Rows whose first key is in `heavy` (one column, under HOT values) are dealt over `parts` tasks, their lines go to each."""
+    row_key, line_key = next(iter(keys.items()))
+    heavy = F.broadcast(heavy.toDF("__hot").withColumn("__heavy", F.lit(True)))  # under HOT rows
+    rows = rows.join(heavy, F.col(row_key).eqNullSafe(F.col("__hot")), "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64("__rid"), F.lit(parts))).otherwise(0))
+    lines = lines.join(heavy, F.col(line_key).eqNullSafe(F.col("__hot")), "left")
+    lines = lines.withColumn("__part", F.explode(F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    on = F.col("__salt") == F.col("__part")
+    for r, x in keys.items():
+        on &= F.col(r).eqNullSafe(F.col(x))
+    return rows.drop("__hot", "__heavy").join(lines.drop("__hot", "__heavy"), on, how).drop("__salt", "__part")
+
+
 def identify(
     docs: DataFrame, key: str = "doc_id", text: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None,
     model: list[TextModel] | None = None, confidence: float = 0.5, effective: int = 200, host_weight: float = 20.0, suffix_weight: float = 50.0, declared_weight: float = 20.0,
@@ -211,9 +227,14 @@ def identify(
     said = said.join(told, "l").select(F.col("declared").alias("d2"), F.col("l").alias("dl"), ((F.col("n_dl") + declared_weight * usual) / (F.col("n_l") + declared_weight)).alias("p_said"))
 
     loo = (F.greatest(F.col("n_hl") - F.col("own"), F.lit(0.0)) + host_weight * F.col("p_suffix")) / (F.greatest(F.col("n_h") - 1, F.lit(0.0)) + host_weight)
+
+    def heavy(column: str) -> DataFrame:
+        """Its values that hold over 1 / HOT of all documents each."""
+        return by_host.groupBy(column).agg(F.sum("n").alias("n")).join(F.broadcast(total), F.col("n") * HOT > F.col("total")).select(column)  # a row
+
+    fused = _looked_up(long, prior, {"host": "ph", "suffix": "ps", "l": "pl"}, heavy("host"))
     fused = (
-        long.join(prior, F.col("host").eqNullSafe(F.col("ph")) & F.col("suffix").eqNullSafe(F.col("ps")) & (F.col("l") == F.col("pl")))
-        .join(said, (F.col("declared") == F.col("d2")) & (F.col("l") == F.col("dl")), "left")
+        _looked_up(fused, said, {"declared": "d2", "l": "dl"}, heavy("declared"), "left")
         .withColumn("f", F.col("score") + F.log(loo) + F.when(F.col("declared").isNull(), F.lit(0.0)).otherwise(F.log(F.coalesce("p_said", F.lit(0.1 / n_langs)))))
     )
     best = fused.groupBy("__rid").agg(
