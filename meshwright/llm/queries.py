@@ -103,5 +103,17 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) d
 """
 
 
+# Rows in the order of the file, which is that of doc_id. DuckDB has no CRC-32: it is taken bit by bit, lowest first.
+BYTE_SHARDS_SQL = f"""
+WITH r AS (SELECT doc_id, strlen(t) + 1 AS size, hex(encode(t)) AS h, row_number() OVER (ORDER BY doc_id) AS pos FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) d),
+p AS (SELECT *, sum(size) OVER (ORDER BY pos) AS upto, sum(size) OVER () AS total,
+  list_transform(range(0, length(h)), lambda i: instr('0123456789ABCDEF', substr(h, (i + 1 - 2 * (i % 2) + 1)::BIGINT, 1)) - 1) AS nibbles FROM r),
+q AS (SELECT doc_id, size, pos, least({SHARDS} - 1, ((upto * 2 - size) * {SHARDS}) // (total * 2))::INT AS shard,
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 4 * len(nibbles)), lambda k: ((nibbles[k // 4 + 1] >> (k % 4)::INT) & 1)::BIGINT)),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))) AS c FROM p)
+SELECT doc_id, size, xor(c, 4294967295) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM q
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op7_byte_shards": BYTE_SHARDS_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
