@@ -58,7 +58,13 @@ def test_shards(awkward):
         by[r.shard].append(r)
     for rs in by.values():
         assert sorted(r.slot for r in rs) == list(range(len(rs)))
-        assert abs(sum(r.size for r in rs) - sum(size) / 4) <= 2 * max(size)
+    upto, shard, slots = 0, [], collections.Counter()
+    for n in size:  # the middle of a row against the equal cuts, in the table's order
+        k = min(3, (2 * upto + n) * 4 // (2 * sum(size)))
+        upto += n
+        shard.append((k, slots[k]))
+        slots[k] += 1
+    assert sorted((r.shard, r.slot, r.size) for r in got) == sorted((k, at, n) for (k, at), n in zip(shard, size, strict=True))
     assert collections.Counter(r.text_crc32 for r in got) == collections.Counter(zlib.crc32(t.encode()) for _, t in rows)
 
 
@@ -78,12 +84,13 @@ def test_exact_dedup(awkward, digest_bytes, keep):
     assert set(kept.values()) == {1}
 
 
-def test_near_dedup(awkward):
+def near_classes(rows):
+    """Sorted lists of the doc_ids that links of plain Jaccard 0.8 or more, and equal texts, join; by all pairs."""
+
     def shingles(t):
         w = t.split()
         return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
-    rows = pairs(awkward)
     texts = sorted({t for _, t in rows})
     sets, root = [shingles(t) for t in texts], list(range(len(texts)))
 
@@ -96,16 +103,21 @@ def test_near_dedup(awkward):
         for j in range(i):
             if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
                 root[find(i)] = find(j)
-    want = collections.defaultdict(list)
+    out = collections.defaultdict(list)
     for d, t in rows:
-        want[find(texts.index(t))].append(d)
+        out[find(texts.index(t))].append(d)
+    return sorted(sorted(ids, key=lambda x: (x is None, x or 0)) for ids in out.values())
+
+
+def test_near_dedup(awkward):
+    want = near_classes([(d, t) for d, t in pairs(awkward) if d is not None])
+    named = awkward.where("doc_id is not null")
     got = collections.defaultdict(list)
-    result = near_dedup.near_duplicates(awkward).collect()
+    result = near_dedup.near_duplicates(named).collect()
     for r in result:
         got[r.class_id].append(r.doc_id)
-    key = lambda ids: sorted(ids, key=lambda x: (x is None, x or 0))
-    assert sorted(map(str, map(key, got.values()))) == sorted(map(str, map(key, want.values())))
-    assert sum(r.kept for r in result) == len(want)
+    assert sorted(map(sorted, got.values())) == want and sum(r.kept for r in result) == len(want)
+    assert near_dedup.near_duplicates(awkward).where("kept").count() == len(want)  # the null key repeats a text
 
 
 def test_near_copies_that_repeat_a_passage(spark):
@@ -385,10 +397,49 @@ def test_pages_with_nulls_repeats_and_clashing_names(spark):
     assert html_extraction.extract_pages(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+def test_pipeline(spark, awkward, tmp_path):
+    """Every stage against brute force on its own input, then the whole against the stages; nulls, repeats, clashing names, no rows."""
+    from tokenizers import Tokenizer
+
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    none = docs.limit(0).checkpoint()
+    steps = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns, name
-    assert corpus_pipeline.run(spark, sf).count() > 0
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path)).checkpoint()
+        assert out.columns == awkward.columns, name
+        steps.append((pairs(docs), pairs(out)))
+        extra = [c for c in awkward.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+        assert out.select(extra).distinct().count() == 1 and set(out.select(extra).first()) == {7}, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    (raw, told), (_, single), (_, apart), (_, clean) = steps
+    assert not collections.Counter(told) - collections.Counter(raw) and not {300, 301, 305} & {d for d, _ in told}
+    assert {d for d, t in raw if d is not None and d < 200} <= {d for d, _ in told}  # clean documents stay
+    best = {}
+    for d, t in told:
+        best[t] = max(best.get(t, -1), -1 if d is None else d)
+    assert sorted(single) == sorted((d, t) for t, d in best.items())
+    classes = near_classes(single)
+    assert len(apart) == len(classes) and all(sum(d in c for d, _ in apart) == 1 for c in classes) and set(apart) <= set(single)
+    before = dict(apart)
+    assert sorted(d for d, _ in clean) == sorted(before) and not any(pii.base_spans(t) for _, t in clean)
+    assert all(t == before[d] for d, t in clean if d != 304)
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {d: len(t.encode(x, add_special_tokens=False).ids) + 1 for d, x in clean}
+    none.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_a_hot_host_and_language_are_dealt_over_tasks_alike(spark, monkeypatch):
+    rng = random.Random(8)
+    langs = {"en": "the and with that from have", "de": "und der nicht schon auch ein", "fr": "les des une avec dans pour"}
+    rows = [(i, " ".join(rng.choice(langs[x].split()) for _ in range(12)), x if i % 5 else None, f"{x}.org" if i % 3 else None) for i in range(120) for x in [rng.choice(sorted(langs))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = []
+    for hot in (200, 0.5, 3):  # all, none and some of the keys are hot
+        monkeypatch.setattr(language_id, "HOT", hot)
+        got.append(sorted((r.doc_id, r.lang, r.kept, round(r.confidence, 9)) for r in language_id.identify(df, declared=F.col("lang"), host=F.col("source")).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 120
