@@ -483,7 +483,10 @@ def strong_key_guard(spark, sf_dir):
     return spark.createDataFrame([(",".join(k), merge.strong_enough(k, policy)) for k in cases], "keys string, strong boolean")
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT segment_raw AS value, count(*) AS n FROM {dirty_customer} d GROUP BY segment_raw),
+links AS (SELECT a.value AS a, b.value AS b FROM v a, v b WHERE a.value <> b.value AND 1 - levenshtein(lower(a.value), lower(b.value)) / greatest(length(a.value), length(b.value)) >= 0.9),
+reach AS (SELECT value, value AS peer FROM v UNION SELECT reach.value, links.b FROM reach JOIN links ON links.a = reach.peer)
+SELECT reach.value, arg_max(reach.peer, (v.n, reach.peer)) AS representative FROM reach JOIN v ON v.value = reach.peer GROUP BY reach.value""")
 def similar_value_clusters(spark, sf_dir):
     return clean.similar_values(p.value_frequency(view(spark, sf_dir, "dirty_customer"), "segment_raw"))
 
