@@ -19,7 +19,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain, count, islice
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from meshwright.llm._text import cut, gather, small_batches
 
-CACHE = 1 << 18  # words; about 50 MB in a worker
+CACHE = 1 << 19  # words; about 100 MB in a worker
 GROUP = 1 << 15
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, final boolean"
 _TYPES = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
@@ -78,13 +78,26 @@ class WordEncoder:
             self.bare.encode_special_tokens = True
             if self._ids(self.bare, [_LETTERS]) != self._ids(t, [_LETTERS]):
                 self.bare = None
-        self._forget()
 
-    def _forget(self) -> None:
         self.known: defaultdict[bytes, int] = defaultdict(count().__next__)  # a new word takes the next number
         for x in self.special:
             self.known[b" " + x.encode()]  # no word begins with a space
         self.flat, self.table = np.array(list(self.special.values()), np.uint32), np.arange(len(self.special) + 1)
+        self.uses = np.zeros(len(self.special), np.int64)
+
+    def _forget(self) -> None:
+        """Leaves the special tokens and, of the words that were met more than once, the most frequent: half the cache at
+        most. Their uses are halved, so that words of former texts give way."""
+        n = len(self.special)
+        often = n + np.flatnonzero(self.uses[n:] > 1)
+        most = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: CACHE // 2]])
+        kept = np.concatenate([np.arange(n), most])
+        stays = np.zeros(len(self.known), bool)
+        stays[kept] = True
+        words = list(compress(self.known, stays))
+        self.known = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+        self.flat, self.table = gather(self.flat, self.table, kept)
+        self.uses = self.uses[kept] // 2
 
     def _words(self, text: str) -> list[bytes]:
         split = lambda x: (folded(x.encode()) if self.fold else x.encode()).split()
@@ -110,6 +123,7 @@ class WordEncoder:
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         picks = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
         self._learn(base)
+        self.uses = np.concatenate([self.uses, np.zeros(len(known) - len(self.uses), np.int64)]) + np.bincount(picks, minlength=len(known))
         ids, off = gather(self.flat, self.table, picks)
         return ids, off[np.concatenate([[0], np.cumsum(n)])]
 
