@@ -34,10 +34,19 @@ SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin l
 _TYPES = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
 
 
-_ENDS = (b".", b",")
 #: The lower-case letters of the Latin blocks up to U+024F.
 _LETTERS = "".join(c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c.lower() == c)
-_PLAIN = re.compile(f"[{_LETTERS}]+")
+#: ASCII punctuation and symbols but the apostrophe, which begins tokens with letters.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+_PLAIN = re.compile(f"([{_LETTERS}]+)([{re.escape(_MARKS)}]*)")
+
+
+def _appended(buffer: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """buffer[:n] and the values behind them, in place if there is room, else in a buffer of twice the need."""
+    if n + len(values) > len(buffer):
+        buffer = np.concatenate([buffer[:n], np.zeros(n + 2 * len(values), buffer.dtype)])
+    buffer[n : n + len(values)] = values
+    return buffer
 
 
 def folded(raw: bytes) -> bytes:
@@ -50,13 +59,13 @@ class WordEncoder:
     """Ids by the tokenizers library, as its encode(text, add_special_tokens=False) gives them.
 
     Words between ASCII white space never share a token in a tokenizer whose pre-tokenizer drops white space, so the ids of
-    a word are kept and the library sees each new word once. Letter case, a stop or comma behind a letter, and words of
-    lower-case Latin letters alone, which skip the normaliser and the pre-tokenizer's pattern, are short cuts of the same
-    kind. The constructor asks the tokenizer which of these hold. Special tokens that a text spells out stand for themselves,
-    as in the library: they part the text and have their own ids."""
+    a word are kept and the library sees each new word once. Letter case, marks behind letters (tokens of their own), and
+    words of lower-case Latin letters, which the normaliser leaves alone and which go to the library's model without an
+    encoding around each, are short cuts of the same kind. The constructor asks the tokenizer which of these hold. Special
+    tokens that a text spells out stand for themselves, as in the library: they part the text and have their own ids."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,16 +77,16 @@ class WordEncoder:
         self.by_word = plain and all(pre(f"ab{x}cd") == ["ab", "cd"] for x in " \t\n\r\x0b\x0c")
         upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
         self.fold = bool(probe.normalizer) and probe.normalizer.normalize_str(upper) == lower
-        self.ends = all(pre(f"ab{x}") == ["ab", x] for x in ".,")
-        self.tokenizer.encode_special_tokens = True  # words are without special tokens: a folded one isn't one
-        self.bare = None
         t = self.tokenizer
-        if t.normalizer and t.pre_tokenizer and t.normalizer.normalize_str(_LETTERS) == _LETTERS and len(t.pre_tokenizer.pre_tokenize_str(_LETTERS)) == 1:
-            self.bare = Tokenizer(t.model)
-            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.bare.encode_special_tokens = True
-            if self._ids(self.bare, [_LETTERS]) != self._ids(t, [_LETTERS]):
-                self.bare = None
+        t.encode_special_tokens = True  # words are without special tokens: a folded one isn't one
+        self.bare, self.signs, self.ends = None, {}, False
+        if t.normalizer and t.pre_tokenizer and t.normalizer.normalize_str(_LETTERS) == _LETTERS:
+            self.signs = {ord(c): "".join(pre(c)) for c in _LETTERS}  # the model's signs for a letter's bytes
+            if pre(_LETTERS) == [_LETTERS.translate(self.signs)] and [x.id for x in t.model.tokenize(pre(_LETTERS)[0])] == self._ids([_LETTERS])[0]:
+                self.bare = t.model.tokenize
+                marks = [*_MARKS, *(x + y for x in _MARKS for y in _MARKS), _MARKS]
+                ab, *both = self._ids(["ab", *(f"ab{x}" for x in marks)])
+                self.ends = all(x == ab + y for x, y in zip(both, self._ids(marks), strict=True)) and all(pre(f"ab{x}")[:1] == ["ab"] for x in marks)
 
         self.known: defaultdict[bytes, int] = defaultdict(count().__next__)  # a new word takes the next number
         for x in self.special:
@@ -89,7 +98,7 @@ class WordEncoder:
         """Leaves the special tokens and, of the words that were met more than once, the most frequent: half the cache at
         most. Their uses are halved, so that words of former texts give way."""
         n = len(self.special)
-        often = n + np.flatnonzero(self.uses[n:] > 1)
+        often = n + np.flatnonzero(self.uses[n : len(self.known)] > 1)
         most = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: CACHE // 2]])
         kept = np.concatenate([np.arange(n), most])
         stays = np.zeros(len(self.known), bool)
@@ -123,36 +132,41 @@ class WordEncoder:
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         picks = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
         self._learn(base)
-        self.uses = np.concatenate([self.uses, np.zeros(len(known) - len(self.uses), np.int64)]) + np.bincount(picks, minlength=len(known))
-        ids, off = gather(self.flat, self.table, picks)
+        self.uses = _appended(self.uses, base, np.zeros(len(known) - base, np.int64))
+        np.add.at(self.uses, picks, 1)
+        ids, off = gather(self.flat, self.table[: len(known) + 1], picks)
         return ids, off[np.concatenate([[0], np.cumsum(n)])]
 
-    @staticmethod
-    def _ids(tokenizer, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, base: int) -> None:
         """The ids of the words that have been numbered from `base` on."""
-        known = self.known
-        # A stop or comma behind a letter is a token of its own, so the word before it needn't be met twice.
-        ended = [w for w in islice(reversed(known), len(known) - base) if self.ends and w[-1:] in _ENDS and w[-2:-1].isalpha()]
-        halves = {w: (known[w[:-1]], known[w[-1:]]) for w in ended}
-        new = list(islice(reversed(known), len(known) - base))[::-1]
-        names = [w.decode() for w in new]
-        ids: list[list[int]] = [[]] * len(new)
-        plain, other = [], []
-        for i, (w, name) in enumerate(zip(new, names, strict=True)):
-            if w not in halves:
-                (plain if self.bare and _PLAIN.fullmatch(name) else other).append(i)
-        for tokenizer, at in ((self.bare, plain), (self.tokenizer, other)):
-            for i, got in zip(at, self._ids(tokenizer, [names[i] for i in at]) if at else (), strict=True):
-                ids[i] = got
-        part = lambda k: ids[k - base] if k >= base else self.flat[self.table[k] : self.table[k + 1]].tolist()
-        for w, (stem, mark) in halves.items():
-            ids[known[w] - base] = part(stem) + part(mark)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-        self.table = np.concatenate([self.table, self.table[-1] + np.cumsum(size)])
+        n = len(self.known) - base
+        if not n:
+            return
+        names = b" ".join(islice(reversed(self.known), n)).decode().split(" ")[::-1]  # no word has a space, but special tokens, which aren't new
+        ids: list[list[int]] = [[]] * n
+        other, marked = [], []
+        bare, signs, plain = self.bare, self.signs, _PLAIN.fullmatch
+        for i, name in enumerate(names):
+            m = plain(name) if bare else None
+            if m is None or (m[2] and not self.ends):
+                other.append(i)
+                continue
+            ids[i] = [t.id for t in bare(m[1] if name.isascii() else m[1].translate(signs))]
+            if m[2]:
+                marked.append((i, m[2]))
+        for i, got in zip(other, self._ids([names[i] for i in other]) if other else (), strict=True):
+            ids[i] = got
+        marks = list({x for _, x in marked})
+        of = dict(zip(marks, self._ids(marks) if marks else (), strict=True))
+        for i, x in marked:
+            ids[i] += of[x]
+        size = np.fromiter(map(len, ids), np.int64, n)
+        at = int(self.table[base])
+        self.flat = _appended(self.flat, at, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())))
+        self.table = _appended(self.table, base + 1, at + np.cumsum(size))
 
 
 _loaded: dict[str, WordEncoder] = {}

@@ -240,6 +240,27 @@ def test_word_encoder_with_many_texts_and_a_full_cache(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_new_words_of_letters_and_marks_are_encoded_without_an_encoding_each():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    w = packing.WordEncoder(P.path("word_bpe_49k.json"))
+    encoded, ids_of = [], w._ids
+    w._ids = lambda *a: encoded.extend(a[-1]) or ids_of(*a)
+    text = "Thereaes euxan$$$ ciónes$$$ asgañ, ñóue, es,mssa it's kg2 oneau"
+    assert w([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert sorted(encoded) == ["$$$", ",", "es,mssa", "it's", "kg2"]
+    flat, table, uses = w.flat, w.table, w.uses
+    w([text])
+    assert w.flat is flat and w.table is table and w.uses is uses  # nothing new: no copy of what is known
+    rng = random.Random(2)
+    signs = "".join(map(chr, range(0x20, 0x7F))) + "éßñ×÷\u0301\u0338Σ漢²" + "'.,abcst" * 4
+    for _ in range(60):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(50)]
+        ids, off = w(texts)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_personal_data(awkward):
     def brute(t):
         out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
